@@ -25,8 +25,15 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle counts and the components of 80 % similarity, per document."""
+    from weftline.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe_codec": op1_bpe_codec}
+    return {"op1_bpe_codec": op1_bpe_codec, "op8_jaccard_join": op8_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

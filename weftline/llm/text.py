@@ -123,8 +123,8 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, width: int = _WIDTH) -> tuple
         out[long] = mix(windows[at[long]])
     for row in np.flatnonzero((counts > 0) & (full == 0)):
         short = hashes[rows[row] : rows[row + 1]]
-        value = (short * _MULTIPLIERS[: len(short)]).sum(dtype=np.uint64) + U64(len(short)) * _MULTIPLIERS[7]
-        out[out_rows[row]] = mix(np.array([value ^ U64(0xA5A5A5A5)], np.uint64))[0]
+        value = (short * _MULTIPLIERS[: len(short)]).sum(dtype=np.uint64, keepdims=True) + np.full(1, len(short), np.uint64) * _MULTIPLIERS[7]
+        out[out_rows[row]] = mix(value ^ U64(0xA5A5A5A5))[0]
     return out, out_rows
 
 
