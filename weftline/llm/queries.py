@@ -25,6 +25,20 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 100-byte strings that start earlier."""
+    from weftline.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    from weftline.llm.decontaminate import contaminated
+
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle counts and the components of 80 % similarity, per document."""
     from weftline.llm.jaccard_join import jaccard_components
@@ -32,9 +46,51 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of every fiftieth vector."""
+    from weftline.llm.topk_search import exact_top_k
+
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM (SELECT {key}, regexp_extract_all({_LOWER}, '[^ \t-\r]+') AS w FROM {table}) WHERE len(w) > 0)"""
+
+
+ORACLES = {
+    "op5_decontaminate": f"""WITH d AS ({_shingles_sql("documents", "doc_id")}),
+  b AS ({_shingles_sql("benchmark", "item_id")}),
+  n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+  m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item""",
+    "op8_jaccard_join": f"""WITH RECURSIVE d AS ({_shingles_sql("documents", "doc_id")}),
+  n AS (SELECT doc_id, count(*) AS n_shingles FROM d GROUP BY doc_id),
+  p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM d AS x JOIN d AS y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+  links AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n_shingles + y.n_shingles - shared)),
+  reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT doc_id, b FROM reach JOIN links ON a = other)
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) USING (doc_id)""",
+    "op9_topk_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe_codec": op1_bpe_codec, "op8_jaccard_join": op8_jaccard_join}
+    return {
+        "op1_bpe_codec": op1_bpe_codec,
+        "op2_suffix_dedup": op2_suffix_dedup,
+        "op5_decontaminate": op5_decontaminate,
+        "op8_jaccard_join": op8_jaccard_join,
+        "op9_topk_search": op9_topk_search,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
