@@ -53,6 +53,13 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity scores of every document."""
+    from weftline.llm.toxicity import score_documents
+
+    return score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -89,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op5_decontaminate": op5_decontaminate,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_topk_search": op9_topk_search,
+        "op10_toxicity": op10_toxicity,
     }
 
 
