@@ -39,6 +39,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    from weftline.llm.langid import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle counts and the components of 80 % similarity, per document."""
     from weftline.llm.jaccard_join import jaccard_components
@@ -94,6 +101,7 @@ def queries() -> dict[str, Query]:
         "op1_bpe_codec": op1_bpe_codec,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op5_decontaminate": op5_decontaminate,
+        "op6_language_id": op6_language_id,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_topk_search": op9_topk_search,
         "op10_toxicity": op10_toxicity,
