@@ -46,6 +46,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-mixing log10 probabilities of every document."""
+    from weftline.llm.lm_mixing import score_texts
+
+    return score_texts(_documents(spark, sf_dir))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle counts and the components of 80 % similarity, per document."""
     from weftline.llm.jaccard_join import jaccard_components
@@ -102,6 +109,7 @@ def queries() -> dict[str, Query]:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_language_id": op6_language_id,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_topk_search": op9_topk_search,
         "op10_toxicity": op10_toxicity,
