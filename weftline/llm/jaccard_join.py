@@ -6,13 +6,15 @@ texts link when they share at least 80 % of the union of their sets. The steps:
 1. Texts with one set form a class (a hash of the set); all further steps see classes only, so copies
    cost one row each, whatever their number.
 2. Every set is ordered alike, often repeated shingles last. Two linked sets share some of the first
-   ones: of the first n - ceil(0.8 n) + m(n), at least m of the smaller one, with m(n) = 1 + n // 20. Only
-   shingles that two classes have there are kept, as inverted lists.
-3. Each class is searched against a hub of its lists. Only where a list then still holds two components,
-   all pairs that share m shingles are candidates, so a large group of near copies never yields its pairs.
-4. Candidates are confirmed in blocks of one query set and some dozens of others, by DivideSkip: over the
-   inverted lists of the query's shingles, the short ones are merged by a heap, skipping what cannot
-   reach the required overlap, and the long ones are probed by binary search.
+   ones: of the first n - ceil(0.8 n) + m(n), at least m of the smaller one, with m(n) = 1 + n // 12. Only
+   shingles that two classes have there are kept, as inverted lists, and only of classes with enough of them.
+3. Each class is searched against its hub: of the most central members of its lists (those whose shingles
+   most others share), the one that it shares most with. Hubs make clusters of classes, and links components.
+4. In a cluster that holds several components, the members outside the largest one are searched against all
+   members, in blocks of either, so that a large group of near copies never yields its pairs. Where a list holds
+   several clusters, pairs of different ones that share m shingles are searched.
+5. A search is DivideSkip: over the inverted lists of the query's shingles, the short ones are merged by a
+   heap, skipping what cannot reach the required overlap, and the long ones are probed by binary search.
 
 Shingles are compared by 64-bit hashes. The heavy shingles that are put last are a bounded table, which
 changes the speed only. Defined cases: null and empty texts, and texts of white space, have no set and no
@@ -36,8 +38,8 @@ from weftline.llm.text import U64, mix, shingle_sets, text_slices
 
 #: Shingles of one flush, how often one must occur in it to be reported as heavy, and the most that are kept.
 FLUSH, HEAVY, MOST_HEAVY = 4_000_000, 4, 1 << 18
-#: Sets that are searched for one query set in one block, on average.
-BLOCK = 64
+#: Sets and queries of one block, on average.
+BLOCK = 128
 
 
 def _ceil(a: int, b: int) -> int:
@@ -49,37 +51,53 @@ def least_overlap(n: int, m: int, percent: int = 80) -> int:
     return _ceil(percent * (n + m), 100 + percent)
 
 
-def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int = 80) -> list[int]:
-    """For each set the shingles that it shares with the query, or 0 if it doesn't link with it.
-    query and sets: sorted distinct hashes."""
-    n, out = len(query), [0] * len(sets)
-    near = [k for k, s in enumerate(sets) if len(s) and 100 * min(n, len(s)) >= percent * max(n, len(s))]
-    if not near or not n:
-        return out
-    need = [least_overlap(n, len(sets[k]), percent) for k in near]
-    values = np.concatenate([sets[k] for k in near])
-    owner = np.repeat(np.arange(len(near)), [len(sets[k]) for k in near])
-    at = np.searchsorted(query, values)
-    at[at == n] = 0
-    hit = query[at] == values
-    at, owner = at[hit], owner[hit]
-    order = np.argsort(at, kind="stable")  # owners of one shingle stay in ascending order
-    bounds = np.flatnonzero(np.diff(at[order], prepend=-1, append=n))
-    owners = owner[order].tolist()
-    lists = [owners[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    least = min(need)
-    if len(lists) < least:
-        return out
-    lists.sort(key=len, reverse=True)
-    long = min(least - 1, int(least / (0.01 * log2(max(2, len(lists[0]))) + 1)))
-    probed, merged = lists[:long], lists[long:]
-    for k, count in _merge_skip(merged, least - long):
-        for entries in probed:
-            place = bisect_left(entries, k)
-            count += place < len(entries) and entries[place] == k
-        if count >= need[k]:
-            out[near[k]] = count
-    return out
+class Lists:
+    """Inverted lists over sorted sets of hashes, and T-occurrence searches in them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        order = np.argsort(self.sizes, kind="stable")  # owners by size: those of a list stay in this order
+        self.names = order.tolist()
+        values = np.concatenate([np.zeros(0, np.uint64), *(sets[k] for k in self.names)])
+        owner = np.repeat(np.arange(len(order)), self.sizes[order])
+        sort = np.argsort(values, kind="stable")
+        self.owner = owner[sort]
+        values = values[sort]
+        first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+        self.values, self.edges = values[first], np.concatenate((first, [len(values)]))
+        self.sizes = self.sizes[order]
+
+    def search(self, query: np.ndarray, percent: int = 80) -> list[tuple[int, int]]:
+        """(set, shared shingles) of the sets that link with the query, a sorted set of hashes."""
+        n = len(query)
+        low, high = np.searchsorted(self.sizes, (_ceil(percent * n, 100), 100 * n // percent + 1)).tolist()
+        if not n or low == high:
+            return []
+        at = np.searchsorted(self.values, query)
+        at[at == len(self.values)] = 0
+        at = at[self.values[at] == query]
+        least = least_overlap(n, int(self.sizes[low]), percent)
+        if len(at) < least:
+            return []
+        at = at[np.argsort(self.edges[at + 1] - self.edges[at], kind="stable")].tolist()
+        longest = self.edges[at[-1] + 1] - self.edges[at[-1]]
+        long = min(least - 1, int(least / (0.01 * log2(max(2, longest)) + 1)))
+        entries = [self.owner[self.edges[k] : self.edges[k + 1]] for k in at]
+        merged, probed = [e.tolist() for e in entries[: len(at) - long]], entries[len(at) - long :]
+        found = [(k, count) for k, count in _merge_skip(merged, least - long) if low <= k < high]
+        if not found:
+            return []
+        names, counts = (np.array(x) for x in zip(*found, strict=True))
+        need = -(-percent * (n + self.sizes[names]) // (100 + percent))
+        for left, probe in zip(range(long, 0, -1), probed, strict=True):
+            if left % 16 == 0:  # what can't reach the overlap any more leaves
+                able = counts + left >= need
+                names, counts, need = names[able], counts[able], need[able]
+                if not len(names):
+                    break
+            place = np.minimum(probe.searchsorted(names), len(probe) - 1)
+            counts = counts + (probe[place] == names)
+        return [(self.names[k], count) for k, count in zip(names[counts >= need].tolist(), counts[counts >= need].tolist(), strict=True)]
 
 
 def _merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -113,7 +131,7 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _first(n: int, percent: int) -> int:
-    return min(n, n - _ceil(percent * n, 100) + 1 + n // 20)
+    return min(n, n - _ceil(percent * n, 100) + 1 + n // 12)
 
 
 def _frame(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -203,49 +221,73 @@ def _sets(docs: DataFrame, wanted: Bitmap, width: int) -> DataFrame:
     return docs.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
 
 
-def _search(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links (a, b) among the written pairs (hub, other)."""
-    nodes = pairs.select(F.col("hub").alias("class")).union(pairs.select("other")).distinct()
-    sets = _sets(docs, Bitmap(nodes, "class", pairs.count()), width)
-    sets = written(sets.join(nodes, "class", "left_semi"))
-    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("other"), "blocks").alias("block"), F.col("other").alias("class"), F.lit(1).alias("part"))
-    heads = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("class"), F.lit(0).alias("part"))
-    rows = members.unionByName(heads).join(sets, "class").repartition("hub", "block").sortWithinPartitions("hub", "block", "part")
+def _searched(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """The links (a, b) found in blocks of rows (keys, class, component, part, shingles): the queries, with
+    part 0, among the others; for one query and component one link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, query, names, sets = None, None, [], []
+        at, queries, others = None, [], []
 
         def links() -> pa.RecordBatch:
-            found = [name for name, count in zip(names, t_occurrence(query, sets, percent), strict=True) if count] if query is not None else []
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=schema)
+            found = []
+            if queries and others:
+                lists = Lists([np.frombuffer(data, np.uint64) for *_, data in others])
+                for name, component, data in queries:
+                    linked = {component}
+                    for k, _ in lists.search(np.frombuffer(data, np.uint64), percent):
+                        if others[k][1] not in linked:
+                            linked.add(others[k][1])
+                            found.append((name, others[k][0]))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
 
         for batch in batches:
-            for hub, block, name, part, data in zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "class", "part", "shingles")), strict=True):
-                if (hub, block) != at:
-                    if names:
-                        yield links()
-                    at, query, names, sets = (hub, block), None, [], []
-                if part:
-                    names.append(name)
-                    sets.append(np.frombuffer(data, np.uint64))
-                else:
-                    query = np.frombuffer(data, np.uint64)
-        if names:
-            yield links()
-
-    return rows.mapInArrow(run, "a long, b long")
+            for block, name, component, part, data in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), *(batch.column(c).to_pylist() for c in ("class", "component", "part", "shingles")), strict=True):
+                if block != at:
+                    yield links()
+                    at, queries, others = block, [], []
+                (others if part else queries).append((name, component, data))
+        yield links()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _against_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs (hub, other)."""
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    others = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("other"), "blocks").alias("block"), F.col("other").alias("class"), F.lit(1).alias("part"))
+    hubs = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("class"), F.lit(0).alias("part"))
+    return _searched(others.unionByName(hubs).withColumn("component", F.col("class")).join(sets, "class"), ["hub", "block"], percent)
+
+
+def _within(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between components of one cluster; nodes: (class, cluster, component)."""
+    parts = nodes.groupBy("cluster", "component").count()
+    several = parts.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    several = several.select("cluster", F.col("most.component").alias("most"), F.ceil((F.col("size") - F.col("most.count")) / BLOCK).alias("asking"), F.ceil(F.col("size") / BLOCK).alias("asked"))
+    rows = nodes.join(several, "cluster")
+    others = rows.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).withColumn("block", F.pmod(F.xxhash64("class"), "asked")).withColumn("part", F.lit(1))
+    queries = rows.where("component <> most").withColumn("ask", F.pmod(F.xxhash64("class", F.lit(1)), "asking")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("asked") - 1))).withColumn("part", F.lit(0))
+    return _searched(others.unionByName(queries).select("cluster", "ask", "block", "class", "component", "part").join(sets, "class"), ["cluster", "ask", "block"], percent)
 
 
 def _enough(shared: str, n: str, m: str):
-    return F.col(shared) >= 1 + F.floor(F.least(n, m) / 20)
+    return F.col(shared) >= 1 + F.floor(F.least(n, m) / 12)
 
 
 def _sized(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _wanted_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    nodes = written(nodes.distinct())
+    return written(_sets(docs, Bitmap(nodes, "class", nodes.count()), width).join(nodes, "class", "left_semi"))
+
+
+def _labelled(rows: DataFrame, label: DataFrame, name: str) -> DataFrame:
+    return rows.join(label.toDF("class", name), "class", "left").withColumn(name, F.coalesce(name, "class"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id, the smallest id that links reach.
     percent: the least similarity; width: words of a shingle."""
@@ -257,54 +299,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heavy = spark.sparkContext.broadcast((np.array([r[0] for r in often], np.int64).view(np.uint64), np.array([r[1] for r in often], np.int64)))
     signatures = signatures.where("not heavy")
 
-    keys = written(_prefixes(docs, heavy, None, width, percent).groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"))
+    def shared(rows: DataFrame, *more) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *more).where("low < high").drop("low", "high")
+
+    keys = written(shared(_prefixes(docs, heavy, None, width, percent)))
     kept = Bitmap(keys, "key", keys.count())
-    lists = written(_prefixes(docs, heavy, kept, width, percent).distinct().join(keys, "key", "left_semi"))
-    label = None
-    links: DataFrame | None = None
-    for turn in range(2):  # hubs: the first and then the last class of a list in a band of sizes
-        here = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + turn / 2))
-        if label is not None:
-            here = _mixed(here, label)
-        pick = F.min if turn == 0 else F.max
-        hubs = here.groupBy("key", "band").agg(pick(F.struct("class", "n")).alias("hub"))
-        pairs = here.join(hubs, ["key", "band"]).where("class <> hub.class")
-        if label is not None:  # the hub's component is known from its own row
-            pairs = pairs.join(label.toDF("hub_class", "hub_component"), F.col("hub.class") == F.col("hub_class"), "left").where("component <> coalesce(hub_component, hub.class)")
-        pairs = pairs.groupBy(F.col("class").alias("other"), "n", F.col("hub.class").alias("hub"), F.col("hub.n").alias("m")).count().where(_enough("count", "n", "m") & _sized("n", "m", percent))
-        best = written(pairs.groupBy("other").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "other"))
-        if best.isEmpty():
-            break
-        found = _search(docs, best, width, percent)
-        links = written(found if links is None else links.union(found))
-        label = components(links)
-    if links is None:
-        return signatures.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")) if keys.isEmpty() else _named(signatures, None)
-    rest = written(_mixed(lists, label))
-    a, b = rest.select("key", *(F.col(c).alias(f"{c}_a") for c in ("class", "n", "component"))), rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("class", "n", "component")))
-    pairs = a.join(b, "key").where("class_a < class_b and component_a <> component_b").where(_sized("n_a", "n_b", percent))
+    rows = written(_prefixes(docs, heavy, kept, width, percent).distinct())
+    # a linked class shares m(0.8 n) shingles at least
+    able = rows.groupBy("class", "n").count().where(F.col("count") >= 1 + F.floor(F.ceil(percent * F.col("n") / 100) / 12)).select("class")
+    rows = written(rows.join(able, "class", "left_semi"))
+    rows = written(rows.join(shared(rows, F.count("*").alias("size")), "key"))
+    lists = written(rows.join(rows.groupBy("class").agg(F.sum("size").alias("weight")), "class").select("key", "class", "n", "weight"))
+
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
+    hubs = lists.groupBy("key", band.alias("band")).agg(F.max(F.struct("weight", "class", "n")).alias("hub"))
+    pairs = lists.withColumn("band", band).join(hubs, ["key", "band"]).where("class <> hub.class")
+    pairs = pairs.groupBy(F.col("class").alias("other"), "n", F.col("hub.class").alias("hub"), F.col("hub.n").alias("m")).count().where(_enough("count", "n", "m") & _sized("n", "m", percent))
+    best = written(pairs.groupBy("other").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "other"))
+    sets = _wanted_sets(docs, best.select(F.col("hub").alias("class")).union(best.select("other")), width)
+    links = written(_against_hubs(best, sets, percent))
+    label, cluster = components(links), components(best.toDF("a", "b"))
+    nodes = _labelled(cluster.toDF("class", "cluster"), label, "component")
+    links = written(links.union(_within(nodes, sets, percent)))
+
+    rest = _labelled(lists.select("key", "class", "n"), cluster, "cluster")
+    several = rest.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("key")
+    rest = written(rest.join(several, "key", "left_semi"))
+    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "cluster"))) for side in "ab")
+    pairs = a.join(b, "key").where("class_a < class_b and cluster_a <> cluster_b").where(_sized("n_a", "n_b", percent))
     pairs = written(pairs.groupBy("class_a", "class_b", "n_a", "n_b").count().where(_enough("count", "n_a", "n_b")).select(F.col("class_a").alias("hub"), F.col("class_b").alias("other")))
     if not pairs.isEmpty():
-        more = written(_search(docs, pairs, width, percent))
-        if not more.isEmpty():
-            label = components(links.union(more))
-    return _named(signatures, label)
-
-
-def _mixed(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows, with their components, of the lists that hold more than one component."""
-    rows = lists.join(label.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return rows.join(keys, "key", "left_semi")
+        more = _wanted_sets(docs, pairs.select(F.col("hub").alias("class")).union(pairs.select("other")), width)
+        links = links.union(written(_against_hubs(pairs, more, percent)))
+    return _named(signatures, components(links))
 
 
-def _named(signatures: DataFrame, label: DataFrame | None) -> DataFrame:
+def _named(signatures: DataFrame, label: DataFrame) -> DataFrame:
     """Every document with the smallest id of its component."""
-    filled = signatures.where("n > 0")
-    if label is None:
-        filled = filled.withColumn("component", F.col("class"))
-    else:
-        filled = filled.join(label.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    filled = _labelled(signatures.where("n > 0"), label, "component")
     first = filled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = filled.join(first, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return named.unionByName(signatures.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
