@@ -32,6 +32,13 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    from weftline.llm.pii_crf import find_personal_data
+
+    return find_personal_data(_documents(spark, sf_dir))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents hold."""
     from weftline.llm.decontaminate import contaminated
@@ -107,6 +114,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_pii": op3_pii,
         "op5_decontaminate": op5_decontaminate,
         "op6_language_id": op6_language_id,
         "op7_lm_scoring": op7_lm_scoring,
