@@ -14,7 +14,7 @@ corpus is cut so that every such string's occurrences meet, without a suffix arr
    boundaries that were never found separate nothing: rows between two found ones share `length` bytes.
    In each such class all windows but the first are repeats.
 4. An anchor with more than MANY different fragments (the edges of a passage that very many texts share)
-   isn't collected: its windows are counted one by one, by their hash, which pre-aggregates.
+   isn't collected: its windows are settled by their hash, in each task and then in buckets of hashes.
 
 Defined cases: a null text is an empty one; nothing of a text shorter than `length` goes; rows without an
 id come after all others; rows that repeat an id and text are one document, each with its result; further
@@ -35,7 +35,7 @@ from weftline.llm.state import Bitmap, written
 from weftline.llm.text import U64, mix, prefix_hash, span_hash, text_bytes, text_slices
 
 GRAM = 32
-#: Different fragments of one anchor from which its windows are counted one by one.
+#: Different fragments of one anchor beyond which its windows are settled by their hash.
 MANY = 256
 #: Bytes of fragments that one transform holds, but for an anchor's last ones.
 TRANSFORM = 400_000
@@ -229,11 +229,46 @@ def _transformed(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("anchor", "doc", "row", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _SPANS_SQL)
 
 
+def _later(window: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that occur earlier among these, and the first ones."""
+    by = np.lexsort((start, doc, window))
+    repeat = window[by[1:]] == window[by[:-1]]
+    return by[1:][repeat], by[np.concatenate(([True], ~repeat))[: len(by)]]
+
+
+def _runs(doc: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
+    """doc, row, start and stop of the runs of successive windows."""
+    by = np.lexsort((start, row, doc))
+    doc, row, start = doc[by], row[by], start[by]
+    edge = np.ones(len(by), bool)
+    edge[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(edge)
+    last = np.concatenate((first[1:], [len(by)]))[: len(first)] - 1
+    return [doc[first], row[first], start[first], start[last] + length]
+
+
 def _counted(texts: DataFrame, length: int) -> DataFrame:
-    """The repeats among fragments that are too many to meet: window by window, by hash."""
-    schema = pa.schema([("window", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64())])
+    """The repeats among fragments that are too many to meet: by the windows' hashes. A task settles what repeats
+    within its own windows; the first ones of all tasks meet in buckets of hashes, packed."""
+    size = texts.agg(F.sum("windows")).first()[0] or 0
+    bits = max(9, int(size // 100_000).bit_length())
+    schema = pa.schema([*_SPANS, ("bucket", pa.int64()), ("packed", pa.binary())])
+
+    def settled(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        window, doc, row, start = (np.concatenate(c) for c in zip(*held, strict=True))
+        later, first = _later(window, doc, start)
+        spans = _runs(doc[later], row[later], start[later], length)
+        bucket = (window[first] >> U64(64 - bits)).astype(np.int64)  # in order, as the windows are
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bits))
+        packed = np.stack([c[first].view(np.int64) for c in (window, doc, row, start)], 1)
+        n, m = len(spans[0]), len(edges) - 1
+        columns = [pa.concat_arrays([pa.array(c, pa.int64()), pa.nulls(m, pa.int64())]) for c in spans]
+        columns.append(pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(bucket[edges[:-1]])]))
+        columns.append(pa.array([None] * n + [packed[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for whole in batches:
             for batch in text_slices(whole, "bytes"):
                 raw, offsets = text_bytes(batch.column("bytes"))
@@ -241,13 +276,21 @@ def _counted(texts: DataFrame, length: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 inside = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
                 at = offsets[:-1][owner] + inside
-                window = span_hash(prefix_hash(raw), at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), *(pa.array(batch.column(c).to_numpy()[owner]) for c in ("doc", "row")), pa.array(batch.column("start").to_numpy()[owner] + inside)], schema=schema)
-
-    windows = written(texts.mapInArrow(run, "window long, doc long, row long, start long"))
-    first = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(first, "window").where("doc <> first.doc or start <> first.start")
-    return later.select("doc", "row", "start", (F.col("start") + length).alias("stop"))
+                held.append([span_hash(prefix_hash(raw), at, at + length), *(batch.column(c).to_numpy()[owner] for c in ("doc", "row")), batch.column("start").to_numpy()[owner] + inside])
+                n += len(owner)
+                if n >= 1_000_000:
+                    yield settled(held)
+                    held, n = [], 0
+        if n:
+            yield settled(held)
+
+    def meet(bucket: pa.Table) -> pa.Table:
+        packed = np.concatenate([np.frombuffer(b, np.int64) for b in bucket.column("packed").to_pylist()]).reshape(-1, 4)
+        later, _ = _later(packed[:, 0], packed[:, 1], packed[:, 3])
+        return pa.table([pa.array(c, pa.int64()) for c in _runs(packed[later, 1], packed[later, 2], packed[later, 3], length)], schema=_SPANS)
+
+    both = written(texts.mapInArrow(run, f"{_SPANS_SQL}, bucket long, packed binary"))
+    return both.where("packed is null").select(*_SPANS.names).unionByName(both.where("packed is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(meet, _SPANS_SQL))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = False) -> DataFrame:
