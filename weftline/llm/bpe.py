@@ -22,6 +22,7 @@ from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -244,7 +245,8 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in rows], pa.string()),
                 ]
                 if with_ids:
-                    columns.append(pa.array([memoryview(ids).cast("I").tolist() for ids, _ in rows], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in rows)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join([ids for ids, _ in rows]), np.int32)))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -105,30 +105,55 @@ def _search(docs: DataFrame, items: list, percent: int, width: int) -> DataFrame
         own, names = index.value
         for whole in batches:
             for batch in text_slices(whole):
-                raw, offsets = text_bytes(batch.column("text"))
-                hashes, rows = shingles(*word_hashes(raw, offsets), width)
-                places = own.places(hashes)
-                ids, out = batch.column("doc_id").to_pylist(), []
-                owner = np.searchsorted(rows, places, "right") - 1
-                for row in np.unique(owner).tolist():
-                    a, b = rows[row], rows[row + 1]
-                    for k, shared in own.holdings(hashes[a:b], places[owner == row] - a, percent):
-                        out.append((ids[row], names[k], len(own.sets[k]), shared, shared / len(own.sets[k])))
+                out = [
+                    (doc_id, names[k], len(own.sets[k]), shared, shared / len(own.sets[k]))
+                    for doc_id, held in zip(batch.column("doc_id").to_pylist(), _held(batch, own, percent, width), strict=True) for k, shared in held
+                ]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
     return docs.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long, containment double")
 
 
+def _held(batch: pa.RecordBatch, index: ItemIndex, percent: int, width: int) -> list[list[tuple[int, int]]]:
+    """For each row the items that its text holds."""
+    hashes, rows = shingles(*word_hashes(*text_bytes(batch.column("text"))), width)
+    places = index.places(hashes)
+    owner = np.searchsorted(rows, places, "right") - 1
+    out: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+    for row in np.unique(owner).tolist():
+        out[row] = index.holdings(hashes[rows[row] : rows[row + 1]], places[owner == row] - rows[row], percent)
+    return out
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list]:
+    """The distinct items, collected in blocks of bounded size."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text") + 16)).first()[0] or 0) // BLOCK_CHARS))
+    for block in range(blocks):
+        yield items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of docs, all columns, that hold no item. Narrow."""
+    for part in _blocks(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([r["text"] for r in part], width))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in text_slices(whole):
+                    yield batch.filter(pa.array([not held for held in _held(batch, index.value, percent, width)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment): the benchmark's items (item_id, text) that documents
     hold, as distinct rows. percent: the least containment; width: words of a shingle."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    blocks = max(1, -(-(items.agg(F.sum(F.length("text") + 16)).first()[0] or 0) // BLOCK_CHARS))
     out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+    for part in _blocks(benchmark):
         found = _search(docs, part, percent, width)
         out = found if out is None else out.unionByName(found)
     return out.distinct()

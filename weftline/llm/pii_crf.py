@@ -385,6 +385,25 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", masked string" * with_text)
 
 
+def mask_personal_data(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, with masked texts; n_chars, if there is one, is the masked text's length. Narrow."""
+    field = docs.sparkSession.sparkContext.broadcast(trained_field())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole):
+                added = added_spans(field.value, *text_bytes(batch.column("text")))
+                texts = batch.column("text").to_pylist()
+                for row, text in enumerate(texts):
+                    base = pattern_spans(text or "")
+                    if base or row in added:
+                        texts[row] = mask(text, base + [s for s in added.get(row, ()) if not any(s[1] < b and a < s[2] for _, a, b in base)])
+                yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.column("text").type))
+
+    masked = docs.mapInArrow(run, docs.schema)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text with spans replaced by <kind>; of spans that meet, the first by place stands."""
     out, at = [], 0

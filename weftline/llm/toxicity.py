@@ -282,6 +282,18 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     return docs.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, whose text scores under the threshold. Narrow."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole):
+                yield batch.filter(pa.array(shared.value.score(batch.column("text").to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):
     """Whether crc32 of the id as text leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
