@@ -39,6 +39,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_documents(spark, sf_dir))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from weftline.llm.wrapper import extract_main_text
+
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents hold."""
     from weftline.llm.decontaminate import contaminated
@@ -115,6 +122,7 @@ def queries() -> dict[str, Query]:
         "op1_bpe_codec": op1_bpe_codec,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_pii": op3_pii,
+        "op4_main_text": op4_main_text,
         "op5_decontaminate": op5_decontaminate,
         "op6_language_id": op6_language_id,
         "op7_lm_scoring": op7_lm_scoring,
