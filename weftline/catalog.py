@@ -1,23 +1,18 @@
-"""The registered queries of the style and typo operators, each with SQL for the same rows."""
+"""The registered queries of the style and typo operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from weftline.plans.registry import ORACLES, QUERIES, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(
-        f"SELECT token, count(*) AS freq FROM (SELECT explode(split(text, '[ \\\\t-\\\\r]+')) AS token FROM parquet.`{sf_dir}/documents.parquet`) WHERE token <> '' GROUP BY token"
-    )
+for _name in ("texts", "dictionary", "labels", "rules", "metrics", "streams"):
+    importlib.import_module(f"weftline.plans.{_name}")
 
 
 def queries() -> dict[str, Query]:
-    return {"token_frequency": token_frequency}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"token_frequency": "SELECT token, count(*) AS freq FROM (SELECT unnest(string_split_regex(text, '[ \\t-\\r]+')) AS token FROM documents) WHERE token <> '' GROUP BY token"}
+    return dict(ORACLES)
