@@ -249,7 +249,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     columns.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join([ids for ids, _ in rows]), np.int32)))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 

@@ -11,8 +11,8 @@ texts link when they share at least 80 % of the union of their sets. The steps:
 3. Each class is searched against its hub: of the most central members of its lists (those whose shingles
    most others share), the one that it shares most with. Hubs make clusters of classes, and links components.
 4. In a cluster that holds several components, the members outside the largest one are searched against all
-   members, in blocks of either, so that a large group of near copies never yields its pairs. Where a list holds
-   several clusters, pairs of different ones that share m shingles are searched.
+   members, in blocks of either, so that a large group of near copies never yields its pairs. Two clusters whose lists
+   share m shingles are searched against each other, in blocks too.
 5. A search is DivideSkip: over the inverted lists of the query's shingles, the short ones are merged by a
    heap, skipping what cannot reach the required overlap, and the long ones are probed by binary search.
 
@@ -135,7 +135,7 @@ def _first(n: int, percent: int) -> int:
 
 
 def _frame(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -271,6 +271,18 @@ def _within(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _searched(others.unionByName(queries).select("cluster", "ask", "block", "class", "component", "part").join(sets, "class"), ["cluster", "ask", "block"], percent)
 
 
+def _between(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between components of the pairs (a, b) of clusters: the smaller one's members are the queries."""
+    sizes = nodes.groupBy("cluster").count()
+    known = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+    swap = F.col("size_a") > F.col("size_b")
+    small, large = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    known = known.select(small.alias("x"), large.alias("y"), F.ceil(F.least("size_a", "size_b") / BLOCK).alias("asking"), F.ceil(F.greatest("size_a", "size_b") / BLOCK).alias("asked"))
+    queries = known.join(nodes, F.col("x") == F.col("cluster")).withColumn("ask", F.pmod(F.xxhash64("class", F.lit(1)), "asking")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("asked") - 1))).withColumn("part", F.lit(0))
+    others = known.join(nodes, F.col("y") == F.col("cluster")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).withColumn("block", F.pmod(F.xxhash64("class"), "asked")).withColumn("part", F.lit(1))
+    return _searched(queries.unionByName(others).select("x", "y", "ask", "block", "class", "component", "part").join(sets, "class"), ["x", "y", "ask", "block"], percent)
+
+
 def _enough(shared: str, n: str, m: str):
     return F.col(shared) >= 1 + F.floor(F.least(n, m) / 12)
 
@@ -318,20 +330,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = written(pairs.groupBy("other").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "other"))
     sets = _wanted_sets(docs, best.select(F.col("hub").alias("class")).union(best.select("other")), width)
     links = written(_against_hubs(best, sets, percent))
-    label, cluster = components(links), components(best.toDF("a", "b"))
+    label, cluster = components(links), written(_clusters(best))
     nodes = _labelled(cluster.toDF("class", "cluster"), label, "component")
-    links = written(links.union(_within(nodes, sets, percent)))
-
-    rest = _labelled(lists.select("key", "class", "n"), cluster, "cluster")
-    several = rest.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("key")
-    rest = written(rest.join(several, "key", "left_semi"))
-    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "cluster"))) for side in "ab")
-    pairs = a.join(b, "key").where("class_a < class_b and cluster_a <> cluster_b").where(_sized("n_a", "n_b", percent))
-    pairs = written(pairs.groupBy("class_a", "class_b", "n_a", "n_b").count().where(_enough("count", "n_a", "n_b")).select(F.col("class_a").alias("hub"), F.col("class_b").alias("other")))
+    more = _within(nodes, sets, percent)
+
+    everything = _labelled(lists.select("key", "class", "n"), cluster, "cluster")
+    met = written(everything.groupBy("key", "cluster").agg(F.min("n").alias("n")))
+    several = met.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("key")
+    met = met.join(several, "key", "left_semi")
+    a, b = (met.select("key", F.col("cluster").alias(side), F.col("n").alias(f"n_{side}")) for side in "ab")
+    pairs = a.join(b, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("count"), F.min("n_a").alias("n"), F.min("n_b").alias("m"))
+    pairs = written(pairs.where(_enough("count", "n", "m")).select("a", "b"))
     if not pairs.isEmpty():
-        more = _wanted_sets(docs, pairs.select(F.col("hub").alias("class")).union(pairs.select("other")), width)
-        links = links.union(written(_against_hubs(pairs, more, percent)))
-    return _named(signatures, components(links))
+        nodes = everything.select("class", "cluster").distinct()
+        nodes = written(_labelled(nodes.join(pairs.select(F.col("a").alias("cluster")).union(pairs.select("b")).distinct(), "cluster", "left_semi"), label, "component"))
+        more = more.union(_between(pairs, nodes, _wanted_sets(docs, nodes.select("class"), width), percent))
+    more = written(more)
+    if more.isEmpty():
+        return _named(signatures, label)
+    # the further links join components: of these, those they reach are found, and followed
+    a, b = label.toDF("a", "x"), label.toDF("b", "y")
+    joined = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    over = components(joined)
+    ends = label.unionByName(over.select("node", F.col("node").alias("component")).join(label, "node", "left_anti"))
+    label = ends.join(over.toDF("component", "reached"), "component", "left").select("node", F.coalesce("reached", "component").alias("component"))
+    return _named(signatures, label)
+
+
+def _clusters(best: DataFrame) -> DataFrame:
+    """(class, cluster): every class with its hub's hub's hub, as far as there is one. Any division into clusters is
+    right, as pairs of different clusters are searched too."""
+    step = best.select(F.col("other").alias("from"), F.col("hub").alias("to"))
+    out = best.select(F.col("hub").alias("class")).union(best.select("other")).distinct().withColumn("cluster", F.col("class"))
+    for _ in range(3):
+        out = out.join(step, F.col("cluster") == F.col("from"), "left").select("class", F.coalesce("to", "cluster").alias("cluster"))
+    return out
 
 
 def _named(signatures: DataFrame, label: DataFrame) -> DataFrame:

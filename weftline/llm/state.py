@@ -68,12 +68,15 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of links (a, b): component is the smallest node that a chain of
     links reaches. Each turn every node goes over to its smallest neighbour, which at least halves the
     nodes of every component that isn't done; the turns' steps are then followed."""
-    edges = written(links.select("a", "b").where("a <> b").distinct())
-    label = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("component")))
-    while not edges.isEmpty():
+    edges = written(links.select("a", "b").where("a <> b"))
+    label: DataFrame | None = None
+    while label is None or not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        step = written(both.groupBy(F.col("a").alias("old")).agg(F.least(F.col("old"), F.min("b")).alias("new")))
+        step = written(both.groupBy(F.col("a").alias("old")).agg(F.min("b").alias("new")).select("old", F.least("old", "new").alias("new")))
         a, b = step.toDF("a", "x"), step.toDF("b", "y")
         edges = written(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        label = written(label.join(step, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
+        if label is None:
+            label = step.toDF("node", "component")
+        else:
+            label = written(label.join(step, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component")))
     return label
