@@ -55,7 +55,7 @@ class Lists:
     """Inverted lists over sorted sets of hashes, and T-occurrence searches in them."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
+        self.sizes = np.array([len(s) for s in sets], np.int64)
         order = np.argsort(self.sizes, kind="stable")  # owners by size: those of a list stay in this order
         self.names = order.tolist()
         values = np.concatenate([np.zeros(0, np.uint64), *(sets[k] for k in self.names)])

@@ -43,6 +43,15 @@ mail <email>sales[at]shop[dot]example[dot]net</email> please
 his address <email>bob##(at)mail#.example.com</email> is old
 send it to <email>mary.jones {at} example {dot} com</email> now
 ask <email>team [at] example [dot] org</email> about it
+at <email>bob## (at) mail#.example.com</email> or by phone
+mail <email>anna (at) mail.example.com</email> now
+mail <email>bob## (at) mail#.example.com</email> <phone>(###) ###-####</phone> now
+mail <email>anna (at) example.com</email> <phone>###-###-####</phone> or call
+mail <email>anna [at] example.org</email> <phone>###.###.####</phone> or call
+call <phone>(###) ###-####</phone> <email>j.smith [at] mail.example.com</email> now
+call <phone>###-###-####</phone> <email>j.smith (at) mail.example.com</email> now
+call <phone>###-###-####</phone> <phone>(###) ###-####</phone> now
+from <ip>###[.]##[.]###[.]#</ip> <phone>###-###-####</phone> came
 call <phone>(###) ###-####</phone> today
 call us at <phone>###-###-####</phone> before noon
 phone <phone>###.###.####</phone> or write
@@ -88,6 +97,8 @@ chapter ## verse ##
 a#b##c and x## are names
 #st #nd and #rd came
 ## ## ## ## were drawn
+marks # # # (#) stood there
+rows # ## # and (#) (##) stood
 [edit] the (dot) on the line
 a [dot] here and an (at) there
 ratio #:## was given (see #.#)
