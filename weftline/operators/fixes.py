@@ -30,7 +30,11 @@ def line_fixes(tokens: DataFrame, id_col: str) -> DataFrame:
 
 def comments(fixes: DataFrame, id_col: str) -> DataFrame:
     """One review comment per fixed line."""
-    text = F.concat(F.lit("line "), F.col("line"), F.lit(": "), F.trim("old"), F.lit(" -> "), F.trim("new"))
+
+    def stripped(c: str):
+        return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+    text = F.concat(F.lit("line "), F.col("line"), F.lit(": "), stripped("old"), F.lit(" -> "), stripped("new"))
     return fixes.select(F.col(id_col).alias("file"), F.col("line").cast("int").alias("line"), text.alias("text"), "confidence")
 
 
