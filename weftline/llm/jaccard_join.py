@@ -37,7 +37,7 @@ from weftline.llm.state import Bitmap, components, written
 from weftline.llm.text import U64, mix, shingle_sets, text_slices
 
 #: Shingles of one flush, how often one must occur in it to be reported as heavy, and the most that are kept.
-FLUSH, HEAVY, MOST_HEAVY = 4_000_000, 4, 1 << 18
+FLUSH, HEAVY, MOST_HEAVY = 2_000_000, 3, 1 << 18
 #: Sets and queries of one block, on average.
 BLOCK = 128
 
