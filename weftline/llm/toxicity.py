@@ -14,13 +14,13 @@ share of texts like it in the seed lexicon's sense: 0.9 with two seed words or m
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +31,13 @@ idiot idiotic imbecile jerk loser lunatic moron moronic pathetic pig scum scumba
 abruti connard crétin débile imbécile merde ordure pourriture abschaum arschloch blödmann dreck dummkopf idiota imbécil basura
 estúpido estúpida escoria mierda asqueroso""".split())
 SECOND = frozenset("you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine euch ihr tú ti usted ustedes vosotros".split())
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
-_ODD = regex.compile(r"(?<=\p{L})[0-9@$*#!]+(?=\p{L})|(?<!\p{L})\p{L}(?:[ .\-_*]\p{L}){3,}(?!\p{L})|(\p{L})\1{3,}")
-_MASKED = regex.compile(r"[\p{L}@$!*0-9]*\p{L}[\p{L}@$!*0-9]*[@$!*0-9][\p{L}@$!*0-9]*\p{L}")
+_MARKED = SEED | SECOND
+_WORD = re.compile(r"[^\W\d_]+")
+_INSIDE = re.compile(r"[^\W\d_][0-9@$*#!]+(?=[^\W\d_])")
+_SPACED = re.compile(r"\b[^\W\d_](?:[ .\-_*][^\W\d_]\b){3,}")
+_REPEATED = re.compile(r"([^\W\d_])\1{3}")
+_CAPITALS = re.compile(r"\b[A-Z\u00c0-\u00d6\u00d8-\u00de]{2,}\b")
+_CAPITAL = re.compile(r"[A-Z\u00c0-\u00d6\u00d8-\u00de]")
 _PLAIN = str.maketrans("013457@$!", "oieastasi")
 #: Labelled rows that are learned from, at most; documents that a lexicon entry must occur in; entries kept at most.
 SAMPLE, LEAST, MOST = 16_000, 5, 200_000
@@ -80,14 +84,24 @@ def _distance(hits: list[int], places: list[int]) -> float:
     return 1.0 / (1 + best)
 
 
+def _around(text: str, at: int) -> str:
+    """The run of letters, digits and marks for letters around a place, 40 characters to either side at most."""
+    start, stop = at, at + 1
+    while start > max(0, at - 40) and (text[start - 1].isalnum() or text[start - 1] in "@$!*"):
+        start -= 1
+    while stop < min(len(text), at + 40) and (text[stop].isalnum() or text[stop] in "@$!*"):
+        stop += 1
+    return text[start:stop].rstrip("!*$@")
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
     found = _WORD.findall(text)
     words = [w.lower() for w in found] if len(found) < 3 else " ".join(found).lower().split(" ")
     n = len(words)
     per = 1.0 / max(n, 1)
-    seeds = [k for k, w in enumerate(words) if w in SEED]
-    second = [k for k, w in enumerate(words) if w in SECOND]
+    marked = [k for k, w in enumerate(words) if w in _MARKED]
+    seeds, second = [k for k in marked if words[k] in SEED], [k for k in marked if words[k] in SECOND]
     get, of = lexicon.memory.get, lexicon.of
     weights = np.array([x if (x := get(w)) is not None else of(w) for w in words], np.float64)
     strong = np.flatnonzero(weights > 3.0)
@@ -96,15 +110,18 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     tops = np.zeros(8)
     tops[: len(top)] = top
     letters = sum(map(len, found))
-    capitals = sum(1 for w in found if len(w) > 1 and w.isupper())
-    odd = sum(1 for _ in _ODD.finditer(text))
-    masked = sum(1 for w in _MASKED.findall(text) if w.lower().translate(_PLAIN) in SEED or lexicon.of(w.lower().translate(_PLAIN)) > 3.0)
+    capitals = len(_CAPITALS.findall(text))
+    inside = [m.start() for m in _INSIDE.finditer(text)]
+    odd = len(inside) + len(_SPACED.findall(text)) + len(_REPEATED.findall(text))
+    masked = 0
+    if inside:  # words with marks or digits for letters, read as the letters that they look like
+        masked = sum(plain in SEED or lexicon.of(plain) > 3.0 for plain in {_around(text, k).lower().translate(_PLAIN) for k in inside})
     size = max(len(text), 1)
     return [
         len(seeds), len(seeds) * per, _distance(seeds, second),
         *((weights > t).sum() * per for t in (1.0, 2.0, 3.0, 4.0)), float((weights > 2.0).sum()), float(len(strong)), float(kinds),
         tops[0], tops[1], tops[3], tops.mean(), float(np.clip(weights, 0, None).sum()) * per, float(weights.sum()) * per, _distance(strong.tolist(), second),
-        len(second) * per, capitals * per, sum(1 for c in text if c.isupper()) / max(letters, 1) if len(text) < 4000 else sum(map(str.isupper, text)) / max(letters, 1),
+        len(second) * per, capitals * per, len(_CAPITAL.findall(text)) / max(letters, 1),
         text.count("!") / size, text.count("?") / size, sum(map(text.count, ",.;:")) / size, sum(map(text.count, "*$%&#@|")) / size,
         odd * per, masked * per, masked, np.log1p(n),
     ]
