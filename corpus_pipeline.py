@@ -2,12 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns the columns of documents; the last
 returns each document's tokens. run() writes every stage's result as Parquet and reads it again. Defined cases are
-the operators'; a document without an id passes the near-duplicate stage only if no document with an id is in its group.
+the operators'; of near duplicates one row stays, whatever ids are missing or repeated, and without an id only if no row has one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
@@ -26,9 +27,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component."""
-    gone = jaccard_components(docs).where("component_id <> doc_id or doc_id is null and component_id is not null").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """One row of each component: the one with the smallest id (those without one come last), then the first row."""
+    keyed = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("at")))
+    found = jaccard_components(keyed.select("at", F.col("doc.text").alias("text")), id_col="at").select(F.col("doc_id").alias("at"), "component_id")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), "at")
+    stays = found.join(keyed.select("at", "doc.doc_id"), "at").groupBy("component_id").agg(F.min(place).alias("place")).select("place.at")
+    return keyed.join(stays, "at", "left_semi").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
