@@ -15,6 +15,8 @@ share of texts like it in the seed lexicon's sense: 0.9 with two seed words or m
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -32,12 +34,16 @@ abruti connard crétin débile imbécile merde ordure pourriture abschaum arschl
 estúpido estúpida escoria mierda asqueroso""".split())
 SECOND = frozenset("you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine euch ihr tú ti usted ustedes vosotros".split())
 _MARKED = SEED | SECOND
+#: The combining marks, which belong to words, as ranges of a pattern's class.
+_MARKS = {k for k in range(sys.maxunicode + 1) if unicodedata.category(chr(k))[0] == "M"}
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(sorted(k for k in _MARKS if k - 1 not in _MARKS), sorted(k for k in _MARKS if k + 1 not in _MARKS), strict=True))
 _WORD = re.compile(r"[^\W\d_]+")
+_MARK, _WORD_WITH_MARKS = re.compile(f"[{_MARKS}]"), re.compile(rf"(?:[^\W\d_]+|[{_MARKS}]+)+")
 _INSIDE = re.compile(r"[^\W\d_][0-9@$*#!]+(?=[^\W\d_])")
 _SPACED = re.compile(r"\b[^\W\d_](?:[ .\-_*][^\W\d_]\b){3,}")
 _REPEATED = re.compile(r"([^\W\d_])\1{3}")
-_CAPITALS = re.compile(r"\b[A-Z\u00c0-\u00d6\u00d8-\u00de]{2,}\b")
-_CAPITAL = re.compile(r"[A-Z\u00c0-\u00d6\u00d8-\u00de]")
+_RUN = re.compile(r"(?:[^\W_]|[@$!*])+")
+_CAPITAL = re.compile(r"[A-Z]")
 _PLAIN = str.maketrans("013457@$!", "oieastasi")
 #: Labelled rows that are learned from, at most; documents that a lexicon entry must occur in; entries kept at most.
 SAMPLE, LEAST, MOST = 16_000, 5, 200_000
@@ -84,19 +90,27 @@ def _distance(hits: list[int], places: list[int]) -> float:
     return 1.0 / (1 + best)
 
 
-def _around(text: str, at: int) -> str:
-    """The run of letters, digits and marks for letters around a place, 40 characters to either side at most."""
-    start, stop = at, at + 1
-    while start > max(0, at - 40) and (text[start - 1].isalnum() or text[start - 1] in "@$!*"):
-        start -= 1
-    while stop < min(len(text), at + 40) and (text[stop].isalnum() or text[stop] in "@$!*"):
-        stop += 1
-    return text[start:stop].rstrip("!*$@")
+def _masked(text: str, inside: list[int]) -> list[str]:
+    """The words with digits or marks for letters that hold the places, once for each that stands in the text, up to their last letter."""
+    out, done = [], 0
+    for at in inside:
+        if at < done:
+            continue
+        start, done = at, _RUN.match(text, at).end()
+        while start and (text[start - 1].isalnum() or text[start - 1] in "@$!*"):
+            start -= 1
+        stop = done
+        while not text[stop - 1].isalpha():
+            stop -= 1
+        if stop > at + 1 and any(not c.isalpha() for c in text[at:stop]):
+            out.append(text[start:stop])
+    return out
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
-    found = _WORD.findall(text)
+    plain = text.isascii()
+    found = (_WORD if plain or not _MARK.search(text) else _WORD_WITH_MARKS).findall(text)
     words = [w.lower() for w in found] if len(found) < 3 else " ".join(found).lower().split(" ")
     n = len(words)
     per = 1.0 / max(n, 1)
@@ -110,18 +124,19 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     tops = np.zeros(8)
     tops[: len(top)] = top
     letters = sum(map(len, found))
-    capitals = len(_CAPITALS.findall(text))
+    capitals = sum(w.isupper() for w in found if len(w) > 1)
+    upper = len(_CAPITAL.findall(text)) if plain else sum(map(str.isupper, text))
     inside = [m.start() for m in _INSIDE.finditer(text)]
     odd = len(inside) + len(_SPACED.findall(text)) + len(_REPEATED.findall(text))
     masked = 0
     if inside:  # words with marks or digits for letters, read as the letters that they look like
-        masked = sum(plain in SEED or lexicon.of(plain) > 3.0 for plain in {_around(text, k).lower().translate(_PLAIN) for k in inside})
+        masked = sum(w in SEED or lexicon.of(w) > 3.0 for w in (m.lower().translate(_PLAIN) for m in _masked(text, inside)))
     size = max(len(text), 1)
     return [
         len(seeds), len(seeds) * per, _distance(seeds, second),
         *((weights > t).sum() * per for t in (1.0, 2.0, 3.0, 4.0)), float((weights > 2.0).sum()), float(len(strong)), float(kinds),
         tops[0], tops[1], tops[3], tops.mean(), float(np.clip(weights, 0, None).sum()) * per, float(weights.sum()) * per, _distance(strong.tolist(), second),
-        len(second) * per, capitals * per, len(_CAPITAL.findall(text)) / max(letters, 1),
+        len(second) * per, capitals * per, upper / max(letters, 1),
         text.count("!") / size, text.count("?") / size, sum(map(text.count, ",.;:")) / size, sum(map(text.count, "*$%&#@|")) / size,
         odd * per, masked * per, masked, np.log1p(n),
     ]
