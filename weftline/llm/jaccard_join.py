@@ -11,8 +11,9 @@ texts link when they share at least 80 % of the union of their sets. The steps:
 3. Each class is searched against its hub: of the most central members of its lists (those whose shingles
    most others share), the one that it shares most with. Hubs make clusters of classes, and links components.
 4. In a cluster that holds several components, the members outside the largest one are searched against all
-   members, in blocks of either, so that a large group of near copies never yields its pairs. Two clusters whose lists
-   share m shingles are searched against each other, in blocks too.
+   members, so that a large group of near copies never yields its pairs. Of two clusters that share early shingles,
+   the members of the smaller one that share enough with the larger one are searched against it. A cluster answers
+   all its queries at once, and only one of more than a block of shingles is dealt into several.
 5. A search is DivideSkip: over the inverted lists of the query's shingles, the short ones are merged by a
    heap, skipping what cannot reach the required overlap, and the long ones are probed by binary search.
 
@@ -30,16 +31,16 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.state import Bitmap, components, written
-from weftline.llm.text import U64, mix, shingle_sets, text_slices
+from weftline.llm.text import U64, mix, release, shingle_sets, text_slices
 
 #: Shingles of one flush, how often one must occur in it to be reported as heavy, and the most that are kept.
 FLUSH, HEAVY, MOST_HEAVY = 2_000_000, 3, 1 << 18
-#: Sets and queries of one block, on average.
-BLOCK = 128
+#: Shingles of a block of sets or queries, on average.
+BLOCK = 1 << 19
 
 
 def _ceil(a: int, b: int) -> int:
@@ -163,6 +164,8 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                     kept, size = [], 0
         if size:
             yield flush(kept)
+        kept = []
+        release()
 
     return docs.mapInArrow(run, "heavy boolean, doc_id long, n long, class long")
 
@@ -199,6 +202,7 @@ def _prefixes(docs: DataFrame, heavy, kept: Bitmap | None, width: int, percent:
                     hit = kept.holds(key)
                     key, owner, n = key[hit], owner[hit], n[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(n)], schema=schema)
+        release()
 
     return docs.mapInArrow(run, "key long, class long, n int")
 
@@ -214,9 +218,11 @@ def _sets(docs: DataFrame, wanted: Bitmap, width: int) -> DataFrame:
                 sets = shingle_sets(batch.column("text"), width)
                 classes = np.array([_class_of(s) for s in sets], np.int64)
                 keep = [k for k in np.flatnonzero(wanted.holds(classes.view(np.uint64))) if len(sets[k]) and int(classes[k]) not in done and not done.add(int(classes[k]))]
-                if len(done) > 1_000_000:
+                if len(done) > 200_000:
                     done.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(classes[keep]), pa.array([sets[k].tobytes() for k in keep], pa.binary())], schema=schema)
+        done.clear()
+        release()
 
     return docs.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
 
@@ -248,39 +254,73 @@ def _searched(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
                     at, queries, others = block, [], []
                 (others if part else queries).append((name, component, data))
         yield links()
+        release()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def _dealt(sides: DataFrame, own: str, other: str, salt: int) -> DataFrame:
+    """The rows of one part, each in one block of its own side and in all blocks of the other one."""
+    mine = F.pmod(F.xxhash64("class", F.lit(salt)), own).alias(f"{own}_block")
+    return sides.withColumn(f"{own}_block", mine).withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+
+
+def _against(target: str, queries: DataFrame, others: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between queries and others (target, class, component, n) of one target. Either side of a target is dealt into
+    blocks of BLOCK shingles: a side within one block, as nearly all are, is never repeated."""
+    sizes = queries.groupBy(target).agg(F.sum("n").alias("ask")).join(others.groupBy(target).agg(F.sum("n").alias("has")), target)
+    sizes = sizes.select(target, *(F.ceil(F.col(c) / BLOCK).alias(c) for c in ("ask", "has")))
+    asking = _dealt(queries.join(sizes, target), "ask", "has", 1).withColumn("part", F.lit(0))
+    asked = _dealt(others.join(sizes, target), "has", "ask", 0).withColumn("part", F.lit(1))
+    keys = [target, "ask_block", "has_block"]
+    return _searched(asking.unionByName(asked).select(*keys, "class", "component", "part").join(sets, "class"), keys, percent)
+
+
 def _against_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (hub, other)."""
-    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    others = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("other"), "blocks").alias("block"), F.col("other").alias("class"), F.lit(1).alias("part"))
-    hubs = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("class"), F.lit(0).alias("part"))
-    return _searched(others.unionByName(hubs).withColumn("component", F.col("class")).join(sets, "class"), ["hub", "block"], percent)
+    """The links among pairs (hub, other, m, n)."""
+    hubs = pairs.groupBy("hub").agg(F.first("m").alias("n")).select("hub", F.col("hub").alias("class"), F.col("hub").alias("component"), "n")
+    return _against("hub", hubs, pairs.select("hub", F.col("other").alias("class"), F.col("other").alias("component"), "n"), sets, percent)
 
 
-def _within(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links between components of one cluster; nodes: (class, cluster, component)."""
+def _outside(nodes: DataFrame) -> DataFrame:
+    """Of clusters with several components the nodes outside the largest one."""
     parts = nodes.groupBy("cluster", "component").count()
-    several = parts.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    several = several.select("cluster", F.col("most.component").alias("most"), F.ceil((F.col("size") - F.col("most.count")) / BLOCK).alias("asking"), F.ceil(F.col("size") / BLOCK).alias("asked"))
-    rows = nodes.join(several, "cluster")
-    others = rows.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).withColumn("block", F.pmod(F.xxhash64("class"), "asked")).withColumn("part", F.lit(1))
-    queries = rows.where("component <> most").withColumn("ask", F.pmod(F.xxhash64("class", F.lit(1)), "asking")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("asked") - 1))).withColumn("part", F.lit(0))
-    return _searched(others.unionByName(queries).select("cluster", "ask", "block", "class", "component", "part").join(sets, "class"), ["cluster", "ask", "block"], percent)
-
-
-def _between(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links between components of the pairs (a, b) of clusters: the smaller one's members are the queries."""
-    sizes = nodes.groupBy("cluster").count()
-    known = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+    several = parts.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    return nodes.join(several.select("cluster", F.col("most.component").alias("most")), "cluster").where("component <> most").drop("most")
+
+
+def _between(crossing: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between different components of a cluster, and of the pairs of clusters that share an early shingle: of a pair, those members
+    of the smaller cluster that share enough with the larger one are queries to it, and a cluster answers all its queries at once.
+    crossing: _crossing(); nodes: (class, cluster, component, n)."""
+    sizes = nodes.groupBy("cluster").agg(F.sum("n").alias("size"))
+    early = crossing.where("early").select("key", "cluster").distinct()
+    a, b = early.toDF("key", "a"), early.toDF("key", "b")
+    pairs = a.join(b, "key").where("a < b").select("a", "b").distinct().join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
     swap = F.col("size_a") > F.col("size_b")
-    small, large = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
-    known = known.select(small.alias("x"), large.alias("y"), F.ceil(F.least("size_a", "size_b") / BLOCK).alias("asking"), F.ceil(F.greatest("size_a", "size_b") / BLOCK).alias("asked"))
-    queries = known.join(nodes, F.col("x") == F.col("cluster")).withColumn("ask", F.pmod(F.xxhash64("class", F.lit(1)), "asking")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("asked") - 1))).withColumn("part", F.lit(0))
-    others = known.join(nodes, F.col("y") == F.col("cluster")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).withColumn("block", F.pmod(F.xxhash64("class"), "asked")).withColumn("part", F.lit(1))
-    return _searched(queries.unionByName(others).select("x", "y", "ask", "block", "class", "component", "part").join(sets, "class"), ["x", "y", "ask", "block"], percent)
+    pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("cluster"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("target"))
+    met = crossing.select("key", F.col("cluster").alias("target")).distinct()
+    asking = pairs.join(crossing.select("cluster", "class", "key", "n"), "cluster").join(met, ["target", "key"]).groupBy("target", "class", "n").count().where(F.col("count") >= _least("n", percent))
+    queries = asking.select("target", "class").join(nodes.select("class", "component", "n"), "class").select("target", "class", "component", "n")
+    queries = written(queries.unionByName(_outside(nodes).select(F.col("cluster").alias("target"), "class", "component", "n")))
+    others = nodes.select(F.col("cluster").alias("target"), "class", "component", "n").join(queries.select("target").distinct(), "target", "left_semi")
+    return _against("target", queries, others, sets, percent)
+
+
+def _crossing(everything: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, class, n, cluster) of shingles that several clusters have, of classes with enough of them. early: a class's
+    least shared ones, but for one less than it needs: two classes that link have one of those in common."""
+    clusters = everything.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("rows")).where("low < high").select("key", "rows")
+    rows = everything.join(clusters, "key")
+    own = Window.partitionBy("class")
+    rows = rows.withColumn("of", F.count("*").over(own)).where(F.col("of") >= _least("n", percent))
+    rows = rows.withColumn("at", F.row_number().over(own.orderBy("rows", "key")))
+    return rows.select("key", "class", "n", "cluster", (F.col("at") <= F.col("of") - _least("n", percent) + 1).alias("early"))
+
+
+def _least(n: str, percent: int):
+    """How many of its first shingles a set shares at least with any that it links with."""
+    return 1 + F.floor(F.ceil(percent * F.col(n) / 100) / 12)
 
 
 def _enough(shared: str, n: str, m: str):
@@ -293,7 +333,10 @@ def _sized(n: str, m: str, percent: int):
 
 def _wanted_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     nodes = written(nodes.distinct())
-    return written(_sets(docs, Bitmap(nodes, "class", nodes.count()), width).join(nodes, "class", "left_semi"))
+    wanted = Bitmap(nodes, "class", nodes.count())
+    sets = written(_sets(docs, wanted, width).join(nodes, "class", "left_semi"))
+    wanted.release()
+    return sets
 
 
 def _labelled(rows: DataFrame, label: DataFrame, name: str) -> DataFrame:
@@ -317,8 +360,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = written(shared(_prefixes(docs, heavy, None, width, percent)))
     kept = Bitmap(keys, "key", keys.count())
     rows = written(_prefixes(docs, heavy, kept, width, percent).distinct())
+    kept.release()
+    heavy.unpersist()
     # a linked class shares m(0.8 n) shingles at least
-    able = rows.groupBy("class", "n").count().where(F.col("count") >= 1 + F.floor(F.ceil(percent * F.col("n") / 100) / 12)).select("class")
+    able = rows.groupBy("class", "n").count().where(F.col("count") >= _least("n", percent)).select("class")
     rows = written(rows.join(able, "class", "left_semi"))
     rows = written(rows.join(shared(rows, F.count("*").alias("size")), "key"))
     lists = written(rows.join(rows.groupBy("class").agg(F.sum("size").alias("weight")), "class").select("key", "class", "n", "weight"))
@@ -327,24 +372,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = lists.groupBy("key", band.alias("band")).agg(F.max(F.struct("weight", "class", "n")).alias("hub"))
     pairs = lists.withColumn("band", band).join(hubs, ["key", "band"]).where("class <> hub.class")
     pairs = pairs.groupBy(F.col("class").alias("other"), "n", F.col("hub.class").alias("hub"), F.col("hub.n").alias("m")).count().where(_enough("count", "n", "m") & _sized("n", "m", percent))
-    best = written(pairs.groupBy("other").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "other"))
+    best = written(pairs.groupBy("other", "n").agg(F.max(F.struct("count", "hub", "m")).alias("best")).select(F.col("best.hub").alias("hub"), F.col("best.m").alias("m"), "other", "n"))
     sets = _wanted_sets(docs, best.select(F.col("hub").alias("class")).union(best.select("other")), width)
     links = written(_against_hubs(best, sets, percent))
     label, cluster = components(links), written(_clusters(best))
-    nodes = _labelled(cluster.toDF("class", "cluster"), label, "component")
-    more = _within(nodes, sets, percent)
 
     everything = _labelled(lists.select("key", "class", "n"), cluster, "cluster")
-    met = written(everything.groupBy("key", "cluster").agg(F.min("n").alias("n")))
-    several = met.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("key")
-    met = met.join(several, "key", "left_semi")
-    a, b = (met.select("key", F.col("cluster").alias(side), F.col("n").alias(f"n_{side}")) for side in "ab")
-    pairs = a.join(b, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("count"), F.min("n_a").alias("n"), F.min("n_b").alias("m"))
-    pairs = written(pairs.where(_enough("count", "n", "m")).select("a", "b"))
-    if not pairs.isEmpty():
-        nodes = everything.select("class", "cluster").distinct()
-        nodes = written(_labelled(nodes.join(pairs.select(F.col("a").alias("cluster")).union(pairs.select("b")).distinct(), "cluster", "left_semi"), label, "component"))
-        more = more.union(_between(pairs, nodes, _wanted_sets(docs, nodes.select("class"), width), percent))
+    crossing = written(_crossing(everything, percent))
+    nodes = written(_labelled(everything.select("class", "n", "cluster").distinct(), label, "component"))
+    meeting = crossing.select("cluster").union(_outside(nodes).select("cluster")).distinct()
+    nodes = written(nodes.join(meeting, "cluster", "left_semi"))
+    if nodes.isEmpty():
+        return _named(signatures, label)
+    more = _between(crossing, nodes, _wanted_sets(docs, nodes.select("class"), width), percent)
     more = written(more)
     if more.isEmpty():
         return _named(signatures, label)

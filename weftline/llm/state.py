@@ -19,9 +19,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set, as in tests, a folder of our own."""
+    """The cluster's shared folder; only on one machine, as in tests, a folder of our own where none is set."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="weftline-")
@@ -59,6 +62,10 @@ class Bitmap:
     def __getstate__(self) -> dict:
         return {"bits": self.bits, "table": self.table}
 
+    def release(self) -> None:
+        """Frees the executors' copies; a task that runs once more would fetch its own."""
+        self.table.unpersist()
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         slots = hashes.astype(np.uint64, copy=False) & np.uint64((1 << self.bits) - 1)
         return (self.table.value[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0

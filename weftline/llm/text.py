@@ -8,6 +8,7 @@ share one with a probability of about 2**-56, and a run never depends on Python'
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,11 @@ _INVERSE = pow(_BASE, -1, 2**64)
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _powers = {"n": 0}
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018  other C libraries lack it
+except (OSError, AttributeError):
+    _libc = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,6 +55,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def release() -> None:
+    """Gives a worker's unused memory back to the system: workers outlive their tasks, and the next stage has workers of its own needs."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of whole rows with at most limit bytes of text, or one longer row."""
     if not batch.num_rows:
