@@ -28,14 +28,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.text import text_slices
+from weftline.llm.state import small_batches
+from weftline.llm.text import releasing, text_slices
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _MARK = "\n"  # no letter of a byte-level vocabulary
 _ODD_BREAKS = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile(f"[{_SPACE}]+")
 #: Entries that each of a worker's two memories holds at most.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -228,6 +229,7 @@ def codec(path: str) -> BpeCodec:
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per row of docs: the id, n_tokens, ids (array<int>; if with_ids), ids_sha256 and
     decoded_sha256. path: a tokenizers JSON file that each worker can read. Narrow: no shuffle."""
+    small_batches(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     if with_ids:
         fields.append(("ids", pa.list_(pa.int32())))
@@ -250,7 +252,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return picked.mapInArrow(releasing(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

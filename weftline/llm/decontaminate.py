@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.text import U64, mix, shingle_sets, shingles, text_bytes, text_slices, word_hashes
+from weftline.llm.state import small_batches
+from weftline.llm.text import U64, mix, releasing, shingle_sets, shingles, text_bytes, text_slices, word_hashes
 
 FUNCTIONS = 128
 BLOCK_CHARS = 8_000_000
@@ -112,7 +113,7 @@ def _search(docs: DataFrame, items: list, percent: int, width: int) -> DataFrame
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long, containment double")
+    return docs.mapInArrow(releasing(run), "doc_id long, item_id long, n_item long, n_shared long, containment double")
 
 
 def _held(batch: pa.RecordBatch, index: ItemIndex, percent: int, width: int) -> list[list[tuple[int, int]]]:
@@ -136,6 +137,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of docs, all columns, that hold no item. Narrow."""
+    small_batches(docs.sparkSession)
     for part in _blocks(benchmark):
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex([r["text"] for r in part], width))
 
@@ -144,13 +146,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80,
                 for batch in text_slices(whole):
                     yield batch.filter(pa.array([not held for held in _held(batch, index.value, percent, width)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(releasing(run), docs.schema)
     return docs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment): the benchmark's items (item_id, text) that documents
     hold, as distinct rows. percent: the least containment; width: words of a shingle."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for part in _blocks(benchmark):

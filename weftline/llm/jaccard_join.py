@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.state import Bitmap, components, written
-from weftline.llm.text import U64, mix, release, shingle_sets, text_slices
+from weftline.llm.state import Bitmap, components, small_batches, written
+from weftline.llm.text import U64, mix, releasing, shingle_sets, text_slices
 
 #: Shingles of one flush, how often one must occur in it to be reported as heavy, and the most that are kept.
 FLUSH, HEAVY, MOST_HEAVY = 2_000_000, 3, 1 << 18
@@ -164,10 +164,8 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                     kept, size = [], 0
         if size:
             yield flush(kept)
-        kept = []
-        release()
 
-    return docs.mapInArrow(run, "heavy boolean, doc_id long, n long, class long")
+    return docs.mapInArrow(releasing(run), "heavy boolean, doc_id long, n long, class long")
 
 
 def _prefixes(docs: DataFrame, heavy, kept: Bitmap | None, width: int, percent: int) -> DataFrame:
@@ -202,9 +200,8 @@ def _prefixes(docs: DataFrame, heavy, kept: Bitmap | None, width: int, percent:
                     hit = kept.holds(key)
                     key, owner, n = key[hit], owner[hit], n[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(n)], schema=schema)
-        release()
 
-    return docs.mapInArrow(run, "key long, class long, n int")
+    return docs.mapInArrow(releasing(run), "key long, class long, n int")
 
 
 def _sets(docs: DataFrame, wanted: Bitmap, width: int) -> DataFrame:
@@ -222,9 +219,8 @@ def _sets(docs: DataFrame, wanted: Bitmap, width: int) -> DataFrame:
                     done.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(classes[keep]), pa.array([sets[k].tobytes() for k in keep], pa.binary())], schema=schema)
         done.clear()
-        release()
 
-    return docs.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+    return docs.mapInArrow(releasing(run), "class long, shingles binary").dropDuplicates(["class"])
 
 
 def _searched(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -254,9 +250,8 @@ def _searched(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
                     at, queries, others = block, [], []
                 (others if part else queries).append((name, component, data))
         yield links()
-        release()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(run), "a long, b long")
 
 
 def _dealt(sides: DataFrame, own: str, other: str, salt: int) -> DataFrame:
@@ -348,6 +343,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     percent: the least similarity; width: words of a shingle."""
     docs = _frame(docs, id_col, text_col)
     spark = docs.sparkSession
+    small_batches(spark)
     signatures = written(_signatures(docs, width))
     often = signatures.where("heavy").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(MOST_HEAVY).collect()
     often.sort(key=lambda r: r[0] % 2**64)
@@ -408,8 +404,9 @@ def _clusters(best: DataFrame) -> DataFrame:
 
 
 def _named(signatures: DataFrame, label: DataFrame) -> DataFrame:
-    """Every document with the smallest id of its component."""
-    filled = _labelled(signatures.where("n > 0"), label, "component")
-    first = filled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = filled.join(first, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    """Every document with the smallest id of its component, which is found over classes."""
+    filled = signatures.where("n > 0")
+    classes = _labelled(filled.groupBy("class").agg(F.min("doc_id").alias("least")), label, "component")
+    first = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = filled.join(classes.join(first, "component").select("class", "component_id"), "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return named.unionByName(signatures.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

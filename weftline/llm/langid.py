@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.text import U64, mix, text_slices
+from weftline.llm.text import U64, mix, releasing, text_slices
 
 SLOTS, ORDERS, SAMPLE, EPOCHS = 1 << 16, 3, 6000, 4
 _seeds = mix(np.arange(11, 11 + ORDERS * ORDERS, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -138,7 +138,7 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(total[filled])], schema=schema)
 
     frequency = np.zeros(SLOTS)
-    for slot, n in docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():
+    for slot, n in docs.select("text").mapInArrow(releasing(count), "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():
         frequency[slot] = n
     idf = np.log((1 + sum(sizes.values())) / (1 + frequency)) + 1
     if not languages:
@@ -156,7 +156,7 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.types, strict=True)], schema=fields)
 
-    rows = picked.select("text", "lang", F.xxhash64("doc_id", F.lit(3)).alias("order")).mapInArrow(vectors, "lang string, order long, slots binary, counts binary").collect()
+    rows = picked.select("text", "lang", F.xxhash64("doc_id", F.lit(3)).alias("order")).mapInArrow(releasing(vectors), "lang string, order long, slots binary, counts binary").collect()
     rows.sort(key=lambda r: (r[1], r[0], r[2]))
     seen = [(np.frombuffer(s, np.uint16).astype(np.int64), np.frombuffer(c, np.uint16).astype(np.float64), languages.index(lang)) for lang, _, s, c in rows]
     seen = [(s, _vector(s, c, idf), label) for s, c, label in seen]
@@ -181,7 +181,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 found = shared.value.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(releasing(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.text import text_bytes, text_slices, words
+from weftline.llm.state import small_batches
+from weftline.llm.text import releasing, text_bytes, text_slices, words
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -374,11 +375,13 @@ def trained_field() -> Field:
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_email, n_ip, n_card and n_phone (of the patterns), base_sha256 (of the patterns'
-    spans), spans (all spans: kind:start:stop by kind and start, in code points) and, if with_text, masked: the text with
-    every span's place taken by its kind in angle brackets. Narrow."""
+    spans), spans (all spans: kind:start:stop by kind and start, in code points), n_spans and n_all_email .. n_all_phone (how
+    many these are, in all and by kind) and, if with_text, masked: the text with every span's place taken by its kind in
+    angle brackets. Narrow."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     field = docs.sparkSession.sparkContext.broadcast(trained_field())
-    fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())] + [("masked", pa.string())] * with_text
+    fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64()), *((f"n_all_{k}", pa.int64()) for k in KINDS)] + [("masked", pa.string())] * with_text
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,14 +393,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     base = pattern_spans(text or "")
                     spans = sorted(base + [s for s in added.get(row, ()) if not any(s[1] < b and a < s[2] for _, a, b in base)])
                     counts = [sum(s[0] == k for s in base) for k in range(4)]
-                    out.append((doc_id, *counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), *([None if text is None else mask(text, spans)] * with_text)))
+                    out.append((doc_id, *counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans), *(sum(s[0] == k for s in spans) for k in range(4)), *([None if text is None else mask(text, spans)] * with_text)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", masked string" * with_text)
+    return docs.mapInArrow(releasing(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, " + ", ".join(f"n_all_{k} long" for k in KINDS) + ", masked string" * with_text)
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with masked texts; n_chars, if there is one, is the masked text's length. Narrow."""
+    small_batches(docs.sparkSession)
     field = docs.sparkSession.sparkContext.broadcast(trained_field())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +415,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
                         texts[row] = mask(text, base + [s for s in added.get(row, ()) if not any(s[1] < b and a < s[2] for _, a, b in base)])
                 yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.column("text").type))
 
-    masked = docs.mapInArrow(run, docs.schema)
+    masked = docs.mapInArrow(releasing(run), docs.schema)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 

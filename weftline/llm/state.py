@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of a bitmap that is broadcast: 2**20 to 2**28 bits, 32 MB.
 MIN_BITS, MAX_BITS = 20, 28
+#: Bytes of an Arrow batch.
+BATCH = 4 << 20
 _own: dict[str, str] = {}
 
 
@@ -31,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH bytes: a batch of whole texts is held twice by a worker and twice by its executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, which cuts its lineage."""
     spark = df.sparkSession

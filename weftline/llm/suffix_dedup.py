@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.state import Bitmap, written
-from weftline.llm.text import U64, mix, prefix_hash, span_hash, text_bytes, text_slices
+from weftline.llm.state import Bitmap, small_batches, written
+from weftline.llm.text import U64, mix, prefix_hash, releasing, span_hash, text_bytes, text_slices
 
 GRAM = 32
 #: Different fragments of one anchor beyond which its windows are settled by their hash.
@@ -198,7 +198,7 @@ def _scan(docs: DataFrame, what: str, length: int, kept: Bitmap | None = None) -
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
-    return docs.mapInArrow(run, ", ".join(f"{k} {kinds[v]}" for k, v in fields.items()))
+    return docs.mapInArrow(releasing(run), ", ".join(f"{k} {kinds[v]}" for k, v in fields.items()))
 
 
 _SPANS = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -226,7 +226,7 @@ def _transformed(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield spans(held)
 
-    return texts.select("anchor", "doc", "row", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _SPANS_SQL)
+    return texts.select("anchor", "doc", "row", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(releasing(run), _SPANS_SQL)
 
 
 def _later(window: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,13 +289,14 @@ def _counted(texts: DataFrame, length: int) -> DataFrame:
         later, _ = _later(packed[:, 0], packed[:, 1], packed[:, 3])
         return pa.table([pa.array(c, pa.int64()) for c in _runs(packed[later, 1], packed[later, 2], packed[later, 3], length)], schema=_SPANS)
 
-    both = written(texts.mapInArrow(run, f"{_SPANS_SQL}, bucket long, packed binary"))
+    both = written(texts.mapInArrow(releasing(run), f"{_SPANS_SQL}, bucket long, packed binary"))
     return both.where("packed is null").select(*_SPANS.names).unionByName(both.where("packed is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(meet, _SPANS_SQL))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining
     bytes and, if with_text, these bytes as kept. length: at least 32 bytes."""
+    small_batches(docs.sparkSession)
     if length < GRAM:
         raise ValueError(f"strings of at least {GRAM} bytes are needed")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -334,4 +335,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
 
     joined = docs.join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.mapInArrow(releasing(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

@@ -9,7 +9,7 @@ share one with a probability of about 2**-56, and a run never depends on Python'
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,15 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
+def releasing(run: Callable) -> Callable:
+    """An Arrow function, run(batches), that gives memory back at the end of its task."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of whole rows with at most limit bytes of text, or one longer row."""
     if not batch.num_rows:

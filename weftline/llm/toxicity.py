@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.text import text_slices
+from weftline.llm.state import small_batches, written
+from weftline.llm.text import releasing, text_slices
 
 SEED = frozenset("""asshole bastard bitch clown crap creep cretin degenerate disgusting dumbass filth freak fool garbage hate hateful
 idiot idiotic imbecile jerk loser lunatic moron moronic pathetic pig scum scumbag shit stupid trash ugly vermin worthless
@@ -47,7 +48,7 @@ _CAPITAL = re.compile(r"[A-Z]")
 _PLAIN = str.maketrans("013457@$!", "oieastasi")
 #: Labelled rows that are learned from, at most; documents that a lexicon entry must occur in; entries kept at most.
 SAMPLE, LEAST, MOST = 16_000, 5, 200_000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def grams(word: str) -> list[str]:
@@ -245,7 +246,7 @@ def _count(sample: DataFrame) -> dict[str, list[int]]:
             if counter:
                 yield pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.string()), pa.array([slot] * len(counter), pa.int32()), pa.array(counter.values(), pa.int64())], schema=schema)
 
-    counts = sample.mapInArrow(run, "gram string, slot int, n long").groupBy("gram").agg(*(F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)))
+    counts = sample.mapInArrow(releasing(run), "gram string, slot int, n long").groupBy("gram").agg(*(F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)))
     counts = counts.where(F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") >= LEAST).where((F.col("n1") + F.col("n3") > 0))
     rows = counts.orderBy(F.desc(F.col("n1") + F.col("n3")), F.desc(F.col("n0") + F.col("n2")), "gram").limit(MOST).collect()
     return {r[0]: list(r[1:]) for r in rows}
@@ -264,8 +265,7 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """docs (doc_id, text) and labels (doc_id, toxic): what may be learned from."""
-    from weftline.llm.state import written
-
+    small_batches(docs.sparkSession)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = labels.count()
     share = min(1.0, sample / max(n, 1))
@@ -286,8 +286,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
             texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_pylist()
             x = [features(t, shared.value[1 - f]) for t, f in zip(texts, folds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic"), batch.column("fold")], schema=schema)
+        for lexicon in shared.value:
+            lexicon.memory.clear()
 
-    got = rows.mapInArrow(run, "x array<double>, toxic int, fold int").toArrow()
+    got = rows.mapInArrow(releasing(run), "x array<double>, toxic int, fold int").toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64)
     y = got.column("toxic").to_numpy().astype(np.float64)
     order = np.lexsort((*x.T, y))  # rows come in any order: fits must not depend on it
@@ -302,6 +304,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, score and predicted, 1 from the threshold on. Narrow."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -310,20 +313,23 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
             for batch in text_slices(whole):
                 score = shared.value.score(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
+        shared.value.lexicon.memory.clear()
 
-    return docs.mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.mapInArrow(releasing(run), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, whose text scores under the threshold. Narrow."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole):
                 yield batch.filter(pa.array(shared.value.score(batch.column("text").to_pylist()) < threshold))
+        shared.value.lexicon.memory.clear()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):
