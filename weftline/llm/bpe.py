@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from weftline.llm.state import small_batches
 from weftline.llm.text import releasing, text_slices
@@ -126,6 +128,7 @@ class BpeCodec:
         self.spelled.make_automaton()
         words = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.word = regex.compile(words.replace("\\s", _SPACE))
+        self.unknown, self.newer, self.normal = _newer()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.arc_memory: dict[int, bool] = {}
@@ -168,9 +171,15 @@ class BpeCodec:
             self._remember(self.word_memory, word, known)
         return known
 
+    def _words(self, piece: str) -> list[str]:
+        """The pre-split words. Code points that only newer Unicode versions call letters or numbers are neither, as in the library."""
+        if not self.newer.search(piece):
+            return self.word.findall(piece)
+        return [piece[m.start() : m.end()] for m in self.word.finditer(self.newer.sub("\ue000", piece))]
+
     def _piece(self, piece: str) -> tuple[bytes, str]:
         if (known := self.pieces.get(piece)) is None:
-            parts = [self._word(w) for w in self.word.findall(piece)]
+            parts = [self._word(w) for w in self._words(piece)]
             known = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
             self._remember(self.pieces, piece, known)
         return known
@@ -188,7 +197,10 @@ class BpeCodec:
             self.failed = 0
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        if self.unknown.search(text):
+            text = self.normal.normalize_str(text)
+        else:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
         words = [w for w in _SPACES.split(text) if w] if _ODD_BREAKS.search(text) else text.split()
         parts = list(map(self.pieces.get, words))
         if None in parts:
@@ -216,6 +228,23 @@ class BpeCodec:
         return " ".join([self.label_of[k] for k in array("I", ids)])
 
 
+def _ranges(codes: list[int]) -> regex.Pattern:
+    """What matches one of the code points, in order."""
+    known = set(codes)
+    starts, stops = ([k for k in codes if k + d not in known] for d in (-1, 1))
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, stops, strict=True)) + "]") if codes else regex.compile("(?!)")
+
+
+def _newer() -> tuple[regex.Pattern, regex.Pattern, normalizers.Normalizer]:
+    """The code points that Python's Unicode version lacks and the pattern module's knows; those among them that the library doesn't
+    take for the letters or numbers that the pattern module does, by its own answers; and the library's normal form for the first."""
+    some, named = regex.compile(r"\P{Cn}"), regex.compile(r"[\p{L}\p{N}]")
+    odd = [k for k in range(sys.maxunicode + 1) if unicodedata.category(chr(k)) == "Cn" and some.match(chr(k))]
+    left = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}\s]"), "removed").pre_tokenize_str(" ".join(map(chr, odd)))
+    plain = {ord(c) for piece, _ in left for c in piece}
+    return _ranges(odd), _ranges([k for k in odd if k in plain and named.match(chr(k))]), normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 _codecs: dict[str, BpeCodec] = {}
 
 
