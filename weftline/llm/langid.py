@@ -104,6 +104,10 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+#: Languages that are told apart, at most: the ones with the most documents.
+LANGUAGES = 1000
+
+
 class LanguageModel:
     def __init__(self, languages: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float):
         self.languages, self.idf, self.weights, self.temperature = languages, idf, weights, temperature
@@ -123,7 +127,8 @@ class LanguageModel:
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """docs (doc_id, text, lang): what may be learned from; a null lang isn't."""
     docs = docs.where("doc_id is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    docs = docs.where(F.col("lang").isin(list(sizes)))
     languages = sorted(sizes)
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
 
@@ -152,13 +157,13 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole):
-                rows = [(lang, order, f[0].astype(np.uint16).tobytes(), np.minimum(f[1], 65535).astype(np.uint16).tobytes()) for lang, order, f in zip(batch.column("lang").to_pylist(), batch.column("order").to_pylist(), slot_counts(batch.column("text").to_pylist()), strict=True) if f is not None]
+                rows = [(lang, order, f[0].astype(np.uint16).tobytes(), f[1].astype(np.uint32).tobytes()) for lang, order, f in zip(batch.column("lang").to_pylist(), batch.column("order").to_pylist(), slot_counts(batch.column("text").to_pylist()), strict=True) if f is not None]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.types, strict=True)], schema=fields)
 
     rows = picked.select("text", "lang", F.xxhash64("doc_id", F.lit(3)).alias("order")).mapInArrow(releasing(vectors), "lang string, order long, slots binary, counts binary").collect()
     rows.sort(key=lambda r: (r[1], r[0], r[2]))
-    seen = [(np.frombuffer(s, np.uint16).astype(np.int64), np.frombuffer(c, np.uint16).astype(np.float64), languages.index(lang)) for lang, _, s, c in rows]
+    seen = [(np.frombuffer(s, np.uint16).astype(np.int64), np.frombuffer(c, np.uint32).astype(np.float64), languages.index(lang)) for lang, _, s, c in rows]
     seen = [(s, _vector(s, c, idf), label) for s, c, label in seen]
     held, own = seen[::5] if len(seen) >= 20 else seen, [r for k, r in enumerate(seen) if k % 5 or len(seen) < 20]
     model = Ftrl(len(languages))
