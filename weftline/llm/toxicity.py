@@ -48,7 +48,7 @@ _CAPITAL = re.compile(r"[A-Z]")
 _PLAIN = str.maketrans("013457@$!", "oieastasi")
 #: Labelled rows that are learned from, at most; documents that a lexicon entry must occur in; entries kept at most.
 SAMPLE, LEAST, MOST = 16_000, 5, 200_000
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 
 
 def grams(word: str) -> list[str]:
@@ -73,9 +73,8 @@ class Lexicon:
                 if (weight := self.weights.get(gram)) is not None:
                     known = weight
                     break
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[word] = known
+            if len(self.memory) < REMEMBERED:  # frequent words come early; a task ends with an empty memory
+                self.memory[word] = known
         return known
 
 
