@@ -44,7 +44,7 @@ _INSIDE = re.compile(r"[^\W\d_][0-9@$*#!]+(?=[^\W\d_])")
 _SPACED = re.compile(r"\b[^\W\d_](?:[ .\-_*][^\W\d_]\b){3,}")
 _REPEATED = re.compile(r"([^\W\d_])\1{3}")
 _RUN = re.compile(r"(?:[^\W_]|[@$!*])+")
-_CAPITAL = re.compile(r"[A-Z]")
+_CAPITAL, _CAPITALS = re.compile(r"[A-Z]"), re.compile(r"[A-Z]{2}")
 _PLAIN = str.maketrans("013457@$!", "oieastasi")
 #: Labelled rows that are learned from, at most; documents that a lexicon entry must occur in; entries kept at most.
 SAMPLE, LEAST, MOST = 16_000, 5, 200_000
@@ -73,7 +73,7 @@ class Lexicon:
                 if (weight := self.weights.get(gram)) is not None:
                     known = weight
                     break
-            if len(self.memory) < REMEMBERED:  # frequent words come early; a task ends with an empty memory
+            if len(self.memory) < REMEMBERED:  # a full memory keeps what it has: frequent words come early
                 self.memory[word] = known
         return known
 
@@ -107,24 +107,34 @@ def _masked(text: str, inside: list[int]) -> list[str]:
     return out
 
 
+def _marked(text: str) -> bool:
+    """Whether the text has a combining mark; what Latin-1 can write has none."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _MARK.search(text) is not None
+    return False
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
     plain = text.isascii()
-    found = (_WORD if plain or not _MARK.search(text) else _WORD_WITH_MARKS).findall(text)
+    found = (_WORD if plain or not _marked(text) else _WORD_WITH_MARKS).findall(text)
     words = [w.lower() for w in found] if len(found) < 3 else " ".join(found).lower().split(" ")
     n = len(words)
     per = 1.0 / max(n, 1)
     marked = [k for k, w in enumerate(words) if w in _MARKED]
     seeds, second = [k for k in marked if words[k] in SEED], [k for k in marked if words[k] in SECOND]
     get, of = lexicon.memory.get, lexicon.of
-    weights = np.array([x if (x := get(w)) is not None else of(w) for w in words], np.float64)
+    known = list(map(get, words))
+    weights = np.array([of(w) if x is None else x for x, w in zip(known, words, strict=True)] if None in known else known, np.float64)
     strong = np.flatnonzero(weights > 3.0)
     kinds = len({words[k] for k in strong.tolist()})
     top = np.sort(weights)[::-1][:8]
     tops = np.zeros(8)
     tops[: len(top)] = top
     letters = sum(map(len, found))
-    capitals = sum(w.isupper() for w in found if len(w) > 1)
+    capitals = 0 if plain and not _CAPITALS.search(text) else sum(map(str.isupper, found)) - sum(map(str.isupper, [w for w in found if len(w) == 1]))
     upper = len(_CAPITAL.findall(text)) if plain else sum(map(str.isupper, text))
     inside = [m.start() for m in _INSIDE.finditer(text)]
     odd = len(inside) + len(_SPACED.findall(text)) + len(_REPEATED.findall(text))
@@ -285,8 +295,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
             texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_pylist()
             x = [features(t, shared.value[1 - f]) for t, f in zip(texts, folds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic"), batch.column("fold")], schema=schema)
-        for lexicon in shared.value:
-            lexicon.memory.clear()
 
     got = rows.mapInArrow(releasing(run), "x array<double>, toxic int, fold int").toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64)
@@ -312,7 +320,6 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
             for batch in text_slices(whole):
                 score = shared.value.score(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
-        shared.value.lexicon.memory.clear()
 
     return docs.mapInArrow(releasing(run), "doc_id long, score double, predicted int")
 
@@ -326,7 +333,6 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) ->
         for whole in batches:
             for batch in text_slices(whole):
                 yield batch.filter(pa.array(shared.value.score(batch.column("text").to_pylist()) < threshold))
-        shared.value.lexicon.memory.clear()
 
     return docs.mapInArrow(releasing(run), docs.schema)
 
