@@ -38,7 +38,7 @@ _MARK = "\n"  # no letter of a byte-level vocabulary
 _ODD_BREAKS = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile(f"[{_SPACE}]+")
 #: Entries that each of a worker's two memories holds at most.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -173,7 +173,7 @@ class BpeCodec:
 
     def _words(self, piece: str) -> list[str]:
         """The pre-split words. Code points that only newer Unicode versions call letters or numbers are neither, as in the library."""
-        if not self.newer.search(piece):
+        if piece.isascii() or not self.newer.search(piece):
             return self.word.findall(piece)
         return [piece[m.start() : m.end()] for m in self.word.finditer(self.newer.sub("\ue000", piece))]
 
@@ -196,8 +196,16 @@ class BpeCodec:
             memory.clear()
             self.failed = 0
 
+    def _has_unknown(self, text: str) -> bool:
+        """Whether Python's Unicode version lacks a code point of the text; it knows all that Latin-1 can write."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.unknown.search(text) is not None
+        return False
+
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        if self.unknown.search(text):
+        if not text.isascii() and self._has_unknown(text):
             text = self.normal.normalize_str(text)
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
