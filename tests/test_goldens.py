@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import text as fn
-from weftline.operators import fixes, fuzzy, labels, metrics, rules, spans, vocabulary
+from weftline.operators import alignment, fixes, fuzzy, labels, metrics, rules, spans, vocabulary
 from weftline.sources import tables
 from weftline.streaming import review
 
@@ -79,9 +79,9 @@ def test_scores(spark):
 
 
 def test_aligned():
-    assert metrics.aligned("a = b", "a=b", "a = b") == (0, 0, 0, 2)
-    assert metrics.aligned("a = b", "a=b", "a=b") == (0, 2, 0, 0)
-    assert metrics.aligned("ab", "ab", "a b") == (1, 0, 0, 0)
+    assert alignment.counts("a = b", "a=b", "a = b") == (0, 0, 0, 2)
+    assert alignment.counts("a = b", "a=b", "a=b") == (0, 2, 0, 0)
+    assert alignment.counts("ab", "ab", "a b") == (1, 0, 0, 0)
 
 
 def test_spans(spark):

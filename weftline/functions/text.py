@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,7 +38,7 @@ def rebuild_identifier(name: Column | str, old: Column | str, new: Column | str)
     def step(state: Column, pair: Column) -> Column:
         at = F.instr(F.lower(state["rest"]), pair["old"])
         was = F.substring(state["rest"], at, F.length(pair["old"]))
-        cased = F.when((was == F.upper(was)) & (F.length(was) > 1), F.upper(pair["new"])).when(F.substring(was, 1, 1) == F.upper(F.substring(was, 1, 1)), F.initcap(pair["new"])).otherwise(pair["new"])
+        cased = F.when((was == F.upper(was)) & (was != F.lower(was)), F.upper(pair["new"])).when(F.substring(was, 1, 1) == F.upper(F.substring(was, 1, 1)), F.initcap(pair["new"])).otherwise(pair["new"])
         return F.struct(
             F.concat(state["done"], F.substring(state["rest"], F.lit(1), at - 1), cased).alias("done"),
             F.substring(state["rest"], at + F.length(pair["old"]), F.length(state["rest"])).alias("rest"),
@@ -55,12 +57,17 @@ def context(words: Column | str, token: Column | str) -> tuple[Column, Column]:
 
 
 def common_prefix(a: Column | str, b: Column | str) -> Column:
-    """The length of the longest common beginning, found by comparing ever longer prefixes."""
+    """The length of the longest common beginning: smaller and smaller powers of two are added while the next so many characters
+    agree, so a comparison reads either text once for each power. A null text is as an empty one."""
     a, b = _col(a), _col(b)
     least = F.least(F.length(a), F.length(b))
-    places = F.when(least > 0, F.sequence(F.lit(1), least)).otherwise(F.array().cast("array<int>"))
-    first = F.array_min(F.filter(places, lambda k: F.substring(a, k, F.lit(1)) != F.substring(b, k, F.lit(1))))
-    return F.coalesce(first - 1, least)
+    highest = F.floor(F.log2(F.greatest(least, F.lit(1)).cast("double"))).cast("int")
+    steps = F.transform(F.sequence(highest, F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2.0), e).cast("int"))
+
+    def longer(done: Column, step: Column) -> Column:
+        return F.when((done + step <= least) & (F.substring(a, done + 1, step) == F.substring(b, done + 1, step)), done + step).otherwise(done)
+
+    return F.aggregate(steps, F.lit(0), longer)
 
 
 #: The rewrites of artificial styles, as patterns and replacements.
@@ -140,10 +147,63 @@ def edit_distance_udf(most: int):
     return distance
 
 
-def swapped_or_near(a: Column | str, b: Column | str) -> Column:
-    """The restricted distance of words that are at most 1 apart, else null: without a UDF."""
+#: Two words with a mark between them, as patterns: the second is the first with a pair of neighbours swapped; with two such pairs; with one and
+#: one more letter replaced, put in or left out.
+_MARK = "\u0001"
+_ANY, _ONE, _MANY = f"[^{_MARK}]", f"([^{_MARK}])", f"([^{_MARK}]*)"
+_SWAPPED = f"^{_MANY}{_ONE}{_ONE}{_MANY}{_MARK}\\1\\3\\2\\4$"
+_TWICE = "|".join([
+    f"^{_MANY}{_ONE}{_ONE}{_MANY}{_ONE}{_ONE}{_MANY}{_MARK}\\1\\3\\2\\4\\6\\5\\7$",
+    *(f"^{_MANY}{_ONE}{_ONE}{_MANY}{x}{_MANY}{_MARK}\\1\\3\\2\\4{y}\\5$" for x, y in ((_ANY, _ANY), ("", _ANY), (_ANY, ""))),
+    *(f"^{_MANY}{x}{_MANY}{_ONE}{_ONE}{_MANY}{_MARK}\\1{y}\\2\\4\\3\\5$" for x, y in ((_ANY, _ANY), ("", _ANY), (_ANY, ""))),
+])
+
+
+def _numbered(pattern: str) -> str:
+    """Alternatives whose back references count from their own first group, as one pattern."""
+    out, groups = [], 0
+    for part in pattern.split("|"):
+        out.append(re.sub(r"\\(\d)", lambda m, n=groups: f"(?:\\{int(m[1]) + n})", part))
+        groups += part.count("([")
+    return "|".join(out)
+
+
+def restricted_distance(a: Column | str, b: Column | str) -> Column:
+    """The restricted distance of words that are at most 2 apart, else null, without a UDF: the plain one, but for swaps."""
     a, b = _col(a), _col(b)
-    k = common_prefix(a, b)
-    swap = (F.length(a) == F.length(b)) & (F.concat(F.substring(a, F.lit(1), k), F.substring(a, k + 2, F.lit(1)), F.substring(a, k + 1, F.lit(1)), F.substring(a, k + 3, F.length(a))) == b)
-    near = F.levenshtein(a, b)
-    return F.when(near <= 1, near).when(swap, F.lit(1))
+    plain, both = F.levenshtein(a, b, 4), F.concat(a, F.lit(_MARK), b)
+    twice = (F.abs(F.length(a) - F.length(b)) <= 1) & both.rlike(_numbered(_TWICE))
+    return F.when((plain >= 0) & (plain <= 1), plain).when((plain == 2) & both.rlike(_SWAPPED), 1).when(plain == 2, 2).when((plain > 2) & twice, 2).cast("int")
+
+
+def with_distance(pairs: DataFrame, a: str, b: str, depth: int, name: str = "distance") -> DataFrame:
+    """The pairs of words a and b whose restricted distance is at most depth, with it."""
+    near = pairs.where(F.abs(F.length(a) - F.length(b)) <= depth)
+    if depth <= 2:
+        return near.withColumn(name, restricted_distance(a, b)).where(F.col(name) <= depth)
+    return near.where(F.levenshtein(F.col(a), F.col(b), 2 * depth) >= 0).withColumn(name, edit_distance_udf(depth)(a, b)).where(F.col(name) >= 0)
+
+
+#: What separates the words of a phrase, beside spaces. Fixed values.
+PHRASE_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
+
+
+def phrase_words(text: Column | str) -> Column:
+    """The lower-cased words of a phrase, at spaces and PHRASE_MARKS."""
+    spaced = F.translate(F.lower(_col(text)), PHRASE_MARKS, " " * len(PHRASE_MARKS))
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
+
+
+def plain_form(word: Column | str) -> Column:
+    """A word without the last letter of -ed and -er, or without a plural s."""
+    word = _col(word)
+    last, two = F.right(word, F.lit(1)), F.right(word, F.lit(2))
+    ends = two.isin("ed", "er") | (last == "s") & (F.substring(word, -2, 1) != "s")
+    return F.when((F.length(word) > 1) & ends, F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+
+
+def unwrapped(token: Column | str) -> Column:
+    """A quoted literal's inside; other tokens as they are."""
+    token = _col(token)
+    quoted = (F.length(token) >= 2) & F.left(token, F.lit(1)).isin("'", '"') & (F.left(token, F.lit(1)) == F.right(token, F.lit(1)))
+    return F.when(quoted, F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(token)

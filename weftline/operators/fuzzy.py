@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import cosine_distance, deletes, edit_distance_udf, log_ratio, swapped_or_near
+from weftline.functions.text import deletes, log_ratio, phrase_words, with_distance
+
+
+def build_dictionary(words: DataFrame, threshold: int = 1) -> DataFrame:
+    """(term, count) of rows (term, count): the counts of repeated words add up; words below the threshold stay out, and
+    negative counts are 0."""
+    counts = words.groupBy("term").agg(F.sum(F.greatest(F.col("count"), F.lit(0))).cast("long").alias("count"))
+    return counts.where((F.col("count") >= threshold) & F.col("term").isNotNull())
 
 
-def deletes_index(dictionary: DataFrame, depth: int = 1) -> DataFrame:
-    """(delete, term, count): every word under its deletes."""
-    return dictionary.select(F.explode(deletes("term", depth)).alias("delete"), "term", "count")
+def deletes_index(dictionary: DataFrame, depth: int = 1, prefix: int | None = None) -> DataFrame:
+    """(delete, term, count): every word under its deletes, or those of its first prefix letters; a word of depth letters
+    at most also under the empty one."""
+    start = F.col("term") if prefix is None else F.substring("term", 1, prefix)
+    found = deletes(start, depth)
+    found = F.when(F.length("term") <= depth, F.array_union(found, F.array(F.lit("")))).otherwise(found)
+    return dictionary.select(F.explode(found).alias("delete"), "term", "count")
 
 
 def fuzzy_join(queries: DataFrame, dictionary: DataFrame, depth: int = 1) -> DataFrame:
@@ -18,10 +34,7 @@ def fuzzy_join(queries: DataFrame, dictionary: DataFrame, depth: int = 1) -> Dat
     Both sides meet in their deletes, by an equi-join; then the distance is taken."""
     asked = queries.select("query").distinct().select("query", F.explode(deletes("query", depth)).alias("delete"))
     pairs = asked.join(deletes_index(dictionary, depth), "delete").select("query", "term", "count").distinct()
-    if depth == 1:
-        return pairs.withColumn("distance", swapped_or_near("query", "term")).where("distance is not null")
-    near = pairs.where(F.levenshtein("query", "term") <= 2 * depth)
-    return near.withColumn("distance", edit_distance_udf(depth)("query", "term")).where("distance >= 0")
+    return with_distance(pairs, "query", "term", depth)
 
 
 def best_terms(found: DataFrame, verbosity: int) -> DataFrame:
@@ -40,26 +53,92 @@ def most_per_distance(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n)
 
 
-def compound(phrases: DataFrame, dictionary: DataFrame, phrase: str = "phrase") -> DataFrame:
-    """corrected: each phrase word by word, a known word kept, an unknown one split in two known words if it can
-    be, else replaced by the best word at distance 1, else kept. Distributed: words meet the dictionary by joins."""
-    words = phrases.select(F.col(phrase).alias("phrase"), F.posexplode(F.split(F.col(phrase), " ")).alias("at", "query"))
-    terms = dictionary.select("term", "count")
-    unknown = words.select("query").distinct().join(terms, F.col("query") == F.col("term"), "left_anti")
-    cut = unknown.where(F.length("query") > 1).select("query", F.explode(F.sequence(F.lit(1), F.length("query") - 1)).alias("k"))
-    cut = cut.select("query", F.substring(F.col("query"), F.lit(1), F.col("k")).alias("a"), F.substring(F.col("query"), F.col("k") + 1, F.length("query")).alias("b"))
-    left, right = terms.toDF("a", "count_a"), terms.toDF("b", "count_b")
-    halves = cut.join(left, "a").join(right, "b").groupBy("query").agg(F.max(F.struct(F.least("count_a", "count_b"), F.concat_ws(" ", "a", "b").alias("text")))["text"].alias("halves"))
-    near = best_terms(fuzzy_join(unknown, dictionary), 0).select("query", "term")
-    fixed = words.join(halves, "query", "left").join(near, "query", "left").select("phrase", "at", F.coalesce("halves", "term", "query").alias("word"))
-    return fixed.groupBy("phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda s: s["word"]), " ").alias("corrected"))
+def compound(phrases: DataFrame, dictionary: DataFrame, phrase: str = "phrase", depth: int = 1) -> DataFrame:
+    """(phrase, corrected): each phrase word by word. A word is kept if known, else replaced by the nearer of the best word within
+    depth and of its best cut in two words; a word that makes a nearer word together with the one before it is merged into it.
+    All lookups, of words, of neighbours run together and of the parts of unknown words, are one distributed join; the walk along
+    a phrase is one fold over its words."""
+    words = phrases.select(F.col(phrase).alias("phrase")).distinct().select("phrase", F.posexplode(phrase_words("phrase")).alias("at", "query"))
+    order = Window.partitionBy("phrase").orderBy("at")
+    words = words.withColumn("before", F.lag("query").over(order))
+    runs = words.where("before is not null").select(F.concat("before", "query").alias("query"))
+    known = dictionary.select("term", "count")
+    unknown = words.select("query").distinct().join(known, F.col("query") == F.col("term"), "left_anti").where(F.length("query") > 1)
+    cuts = unknown.select(F.col("query").alias("word"), F.explode(F.sequence(F.lit(1), F.length("query") - 1)).alias("k"))
+    cuts = cuts.select("word", "k", F.substring(F.col("word"), F.lit(1), F.col("k")).alias("a"), F.substring(F.col("word"), F.col("k") + 1, F.length("word")).alias("b"))
+    asked = words.select("query").union(runs).union(cuts.select("a")).union(cuts.select("b")).distinct()
+    best = best_terms(fuzzy_join(asked, known, depth), 0).select("query", F.struct("term", "distance", "count").alias("best"))
+    a, b = best.toDF("a", "best_a"), best.toDF("b", "best_b")
+    parts = cuts.join(a, "a").join(b, "b")
+    cost = F.col("best_a.distance") + F.col("best_b.distance") + 1
+    cut = F.struct(cost.alias("distance"), (-F.least("best_a.count", "best_b.count")).alias("rare"), "k", F.concat_ws(" ", "best_a.term", "best_b.term").alias("term"))
+    parts = parts.groupBy("word").agg(F.min(cut).alias("cut"))
+    rows = words.join(best.withColumnRenamed("best", "own"), "query", "left").join(parts.withColumnRenamed("word", "query"), "query", "left")
+    rows = rows.withColumn("run", F.concat("before", "query")).join(best.toDF("run", "both"), "run", "left")
+    single = F.when(F.col("own.distance") == 0, F.struct(F.col("query").alias("term"), F.lit(0).alias("distance")))
+    nearer = F.col("cut").isNotNull() & (F.col("own").isNull() | (F.col("cut.distance") < F.col("own.distance")))
+    single = single.when(nearer, F.struct(F.col("cut.term").alias("term"), F.col("cut.distance").alias("distance")))
+    single = single.when(F.col("own").isNotNull(), F.struct(F.col("own.term").alias("term"), F.col("own.distance").alias("distance")))
+    single = single.otherwise(F.struct(F.col("query").alias("term"), F.lit(depth + 1).alias("distance")))
+    rows = rows.select("phrase", "at", single.alias("one"), F.struct(F.col("both.term").alias("term"), F.col("both.distance").alias("distance")).alias("both"))
+    lists = rows.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("at", "one", "both"))).alias("words"))
+    start = F.lit(None).cast("struct<done:array<string>,last:struct<term:string,distance:int>,merged:boolean>")
+
+    def step(state: Column, word: Column) -> Column:
+        merges = state.isNotNull() & ~state["merged"] & word["both"]["term"].isNotNull() & (word["both"]["distance"] + 1 < state["last"]["distance"] + word["one"]["distance"])
+        one = F.struct(word["one"]["term"].alias("term"), word["one"]["distance"].cast("int").alias("distance"))
+        pair = F.struct(word["both"]["term"].alias("term"), (word["both"]["distance"] + 1).cast("int").alias("distance"))
+        done = F.when(state.isNull(), F.array().cast("array<string>")).when(merges, state["done"]).otherwise(F.concat(state["done"], F.array(state["last"]["term"])))
+        return F.struct(done.alias("done"), F.when(merges, pair).otherwise(one).alias("last"), merges.alias("merged"))
+
+    text = F.aggregate("words", start, step, lambda s: F.array_join(F.concat(s["done"], F.array(s["last"]["term"])), " "))
+    found = lists.select("phrase", text.alias("corrected"))
+    return phrases.select(F.col(phrase).alias("phrase")).distinct().join(found, "phrase", "left").select("phrase", F.coalesce("corrected", F.lit("")).alias("corrected"))
+
+
+#: Queries of one pass over the rows, and rows of one product of matrices.
+PASS, CHUNK = 2048, 512
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, distance, rank): the k rows of least cosine distance, by brute force of a stated query set against all
-    rows; the queries are the side to keep small, and are broadcast only where Spark's own size check allows it."""
-    pairs = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(rows.select("vec_id", "embedding"), F.col("query_id") != F.col("vec_id"))
-    found = pairs.select("query_id", "vec_id", F.round(cosine_distance("q", "embedding"), 9).alias("distance"))
+    """(query_id, vec_id, distance, rank): the k rows of least cosine distance, by brute force of a stated query set against all rows.
+    Queries come to the driver in passes of PASS vectors; each is a narrow scan of the rows that keeps k of each query in a task.
+    Vectors that are null or hold nulls take no part; a zero vector is at distance 1 from all; ties go to the smaller id."""
+    usable = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()) & F.col("vec_id").isNotNull()
+    rows = rows.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    spark, schema = rows.sparkSession, "query_id long, vec_id long, distance double"
+    found = spark.createDataFrame([], schema)
+    asked = queries.where(usable).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).toLocalIterator(prefetchPartitions=True)
+
+    while block := list(itertools.islice(asked, PASS)):
+        by_size: dict[int, list] = {}
+        for row in block:
+            by_size.setdefault(len(row[1]), []).append(row)
+        shared = spark.sparkContext.broadcast({n: (np.array([r[0] for r in some]), np.array([r[1] for r in some]).reshape(len(some), n)) for n, some in by_size.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best: dict[int, list[np.ndarray]] = {}
+            for whole in batches:
+                for at in range(0, whole.num_rows, CHUNK):
+                    batch = whole.slice(at, CHUNK)
+                    ids, lists = batch.column("vec_id").to_numpy(), batch.column("embedding")
+                    sizes = np.diff(lists.offsets.to_numpy())
+                    for n in set(sizes.tolist()) & shared.value.keys():
+                        mine = sizes == n
+                        names, q = shared.value[n]
+                        x = lists.filter(pa.array(mine)).flatten().to_numpy().reshape(-1, n)
+                        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                        distance = np.round(1 - np.divide(q @ x.T, norms, out=np.zeros_like(norms), where=norms > 0), 9)
+                        distance[names[:, None] == ids[mine][None, :]] = np.inf
+                        old = best.get(n, [np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)])
+                        both = np.hstack((old[0], distance)), np.hstack((old[1], np.broadcast_to(ids[mine], distance.shape)))
+                        order = np.lexsort((both[1], both[0]), axis=1)[:, :k]
+                        best[n] = [np.take_along_axis(c, order, 1) for c in both]
+            for n, (distance, ids) in best.items():
+                keep = np.isfinite(distance)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shared.value[n][0], keep.sum(1))), pa.array(ids[keep]), pa.array(distance[keep])], names=["query_id", "vec_id", "distance"])
+
+        found = found.union(rows.mapInArrow(run, schema))
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

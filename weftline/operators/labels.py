@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.lexing import lexed, slices
 from weftline.functions.text import clip
 
-#: A word, a run of one white-space kind, or one other character: together they cover any text.
-LEXER = r"[A-Za-z_0-9]+|\n+|[^\S\n]+|[^A-Za-z_0-9\s]"
-
-
 def lex(files: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(id, idx, value, start, stop, line, col): tokens that cover the text, with 0-based offsets and 1-based lines and
-    columns. The windows are partitioned by text."""
-    rows = files.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(LEXER), F.lit(0))).alias("idx", "value"))
-    before = Window.partitionBy(id_col).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("value")).over(before), F.lit(0))).withColumn("stop", F.col("start") + F.length("value"))
-    newlines = F.when(F.col("value").startswith("\n"), F.length("value")).otherwise(0)
-    rows = rows.withColumn("line", 1 + F.coalesce(F.sum(newlines).over(before), F.lit(0)))
-    line_start = F.max(F.when(F.col("value").startswith("\n"), F.col("stop"))).over(before)
-    return rows.withColumn("col", 1 + F.col("start") - F.coalesce(line_start, F.lit(0)))
+    columns. Narrow: a text is lexed where it is read, in linear time; a null text has no tokens."""
+    kind = files.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text):
+                row, columns = lexed(batch.column(text))
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row)), *columns], names=[id_col, "idx", "value", "start", "stop", "line", "col"])
+
+    return files.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, idx int, value string, start long, stop long, line long, col long")
 
 
 def white_classes(tokens: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,31 +91,3 @@ def change_ratio(base: DataFrame, head: DataFrame, key: str, line: str = "line")
 
     both = counted(head, "n").join(counted(base, "m"), [key, line], "left")
     return both.groupBy(key).agg(F.sum("n").alias("lines"), F.sum(F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0))).alias("changed"))
-
-
-def aligned(a: str, b: str, c: str) -> tuple[int, int, int, int]:
-    """Misdetected, undetected, wrongly and rightly fixed characters of the true text a, the styled text b and the
-    prediction c, after both have been aligned with b."""
-    from difflib import SequenceMatcher
-
-    def changed(x: str, y: str) -> dict[int, str]:
-        out = {}
-        for kind, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if kind != "equal":
-                out[i] = f"{j - i}:{y[k:m]}"
-        return out
-
-    need, done = changed(b, a), changed(b, c)
-    wrong = sum(1 for at in done if at not in need)
-    missed = sum(1 for at in need if at not in done)
-    right = sum(1 for at in need if done.get(at) == need[at])
-    return wrong, missed, len(need) - missed - right, right
-
-
-def aligned_metrics(df: DataFrame, true: str, styled: str, predicted: str) -> DataFrame:
-    """aligned() of every row, as columns. An Arrow UDF: alignment is a dynamic program over two texts."""
-    @F.pandas_udf("misdetected int, undetected int, wrong_fix int, right_fix int")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([aligned(*row) for row in zip(a, b, c, strict=True)], columns=["misdetected", "undetected", "wrong_fix", "right_fix"])
-
-    return df.withColumn("m", run(true, styled, predicted)).select("*", "m.*").drop("m")

@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.text import cosine_distance
-from weftline.operators import fuzzy, vocabulary
+from weftline.operators import fuzzy, pipelines, vocabulary
 from weftline.plans.registry import query
 from weftline.plans.texts import TOKENS_SQL
 from weftline.sources.tables import table
 
-TOP = 600
-_TOP_SQL = f"SELECT token AS term, freq AS count, row_number() OVER (ORDER BY freq DESC, token) AS rank FROM ({TOKENS_SQL}) QUALIFY rank <= {TOP}"
+_TOP_SQL = f"SELECT token AS term, freq AS count FROM ({TOKENS_SQL})"
 _DELETES = "list_distinct(list_concat([{0}], list_transform(range(1, length({0}) + 1), lambda k: {0}[1:k - 1] || {0}[k + 1:])))"
-_NEAR = f"""WITH t AS ({_TOP_SQL}), e AS (SELECT term, count, rank, unnest({_DELETES.format('term')}) AS del FROM t),
+_NEAR = f"""WITH t AS ({_TOP_SQL}), e AS (SELECT term, count, unnest({_DELETES.format('term')}) AS del FROM t),
  f AS (SELECT DISTINCT a.term AS query, b.term AS term, b.count AS count, a.count AS query_count FROM e a JOIN e b USING (del)),
  near AS (SELECT query, term, count, query_count, damerau_levenshtein(query, term) AS distance FROM f WHERE damerau_levenshtein(query, term) <= 1)"""
 
 
-def dictionary(spark, d, n=TOP):
-    top = vocabulary.top_tokens(vocabulary.word_frequency(table(spark, d, "documents")), n)
-    return top.select(F.col("token").alias("term"), F.col("freq").alias("count"), "rank")
+def dictionary(spark, d, threshold=1):
+    """All words of the documents with enough occurrences."""
+    return fuzzy.build_dictionary(vocabulary.word_frequency(table(spark, d, "documents")).select(F.col("token").alias("term"), F.col("freq").alias("count")), threshold)
 
 
 def near(spark, d):
@@ -38,11 +37,31 @@ def fuzzy_join_k1(spark, d):
     return near(spark, d)
 
 
-@query()
+_CUT = "coalesce(list_min(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: {a}[i] <> {b}[i])) - 1, least(length({a}), length({b})))"
+
+
+def restricted(a: str, b: str, k: str) -> str:
+    """The restricted distance up to 2 of two SQL columns, else null; k: the column of their common beginning's length."""
+    def near(i: int, j: int) -> str:
+        return f"damerau_levenshtein({a}[{k} + {i}:], {b}[{k} + {j}:]) <= 1"
+
+    swapped = f"({a}[{k} + 1] = {b}[{k} + 2] AND {a}[{k} + 2] = {b}[{k} + 1] AND {near(3, 3)})"
+    return f"CASE WHEN {a} = {b} THEN 0 WHEN damerau_levenshtein({a}, {b}) = 1 THEN 1 WHEN {near(2, 2)} OR {near(2, 1)} OR {near(1, 2)} OR {swapped} THEN 2 END"
+
+
+_DELETES_2 = f"list_distinct(flatten(list_transform({_DELETES.format('term')}, lambda w: {_DELETES.format('w')})))"
+
+
+#: Occurrences of a word of the dictionary of two edits.
+_OFTEN = 5
+
+
+@query(f"""WITH t AS ({_TOP_SQL}), e AS (SELECT term, count, unnest({_DELETES_2}) AS del FROM t), p AS (SELECT DISTINCT a.term AS query, b.term AS term, b.count AS count FROM e a JOIN e b USING (del) WHERE b.count >= {_OFTEN} AND abs(length(a.term) - length(b.term)) <= 2),
+ k AS (SELECT *, {_CUT.format(a="query", b="term")} AS k FROM p WHERE damerau_levenshtein(query, term) <= 2), r AS (SELECT query, term, count, {restricted("query", "term", "k")} AS distance FROM k)
+SELECT query, term, count, CAST(distance AS INTEGER) AS distance FROM r WHERE distance IS NOT NULL""")
 def fuzzy_join_k2(spark, d):
-    """Held against brute force in the tests: SQL's own distance is the unrestricted one."""
-    words = dictionary(spark, d)
-    return fuzzy.fuzzy_join(words.select(F.col("term").alias("query")), words.select("term", "count"), 2)
+    """All words against those of some support."""
+    return fuzzy.fuzzy_join(dictionary(spark, d).select(F.col("term").alias("query")), dictionary(spark, d, _OFTEN), 2)
 
 
 for _level, _name in ((0, "lookup_top"), (1, "lookup_closest"), (2, "lookup_all")):
@@ -66,22 +85,44 @@ def top_m_per_distance(spark, d):
 
 @query()
 def lookup_compound(spark, d):
-    """Word pairs run together, and as they are, corrected; held against a plain program in the tests."""
-    words = dictionary(spark, d, 300)
-    pairs = words.where("rank <= 40").select(F.col("term").alias("a"), F.col("rank").alias("i")).join(words.where("rank <= 80").select(F.col("term").alias("b"), (F.col("rank") - 40).alias("i")), "i")
-    phrases = pairs.select(F.when(F.col("i") % 2 == 0, F.concat("a", "b")).otherwise(F.concat_ws(" ", "a", "b")).alias("phrase"))
-    return fuzzy.compound(phrases, words.select("term", "count"))
+    """The first two words of every part's name, by turns run together, with a letter less, cut at another place and as they are, corrected by the
+    names' words; held against a plain program in the tests."""
+    parts = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    words = vocabulary.token_frequency(parts, F.col("w")).select(F.col("token").alias("term"), F.col("freq").alias("count"))
+    a, b = F.col("w")[0], F.col("w")[1]
+    forms = F.concat(a, b), F.concat(F.substring(a, F.lit(2), F.length(a)), F.lit(" "), b), F.concat(F.left(a, F.lit(3)), F.lit(" "), F.substring(a, F.lit(4), F.length(a)), F.lit(" "), b), F.concat(a, F.lit(" "), b)
+    phrase = F.coalesce(*(F.when(F.col("p_partkey") % 4 == k, f) for k, f in enumerate(forms)))
+    return fuzzy.compound(parts.select(phrase.alias("phrase")), words)
 
 
 @query(f"""{_NEAR}, best AS (SELECT query AS token, query_count AS freq, arg_max(term, struct_pack(c := count, t := term)) AS term, max(count) AS top FROM near GROUP BY query, query_count)
 SELECT token, freq, CASE WHEN top > freq THEN term ELSE token END AS correction, round(greatest(top / freq, 1.0), 9) AS rel, greatest(top / freq, 1.0) = 1 AS stable FROM best""")
 def vocabulary_stable_unstable(spark, d):
-    words = dictionary(spark, d)
-    pairs = near(spark, d).join(words.select(F.col("term").alias("query"), F.col("count").alias("freq")), "query")
-    found = vocabulary.nearest_frequent(pairs.select(F.col("query").alias("token"), "freq", F.col("term").alias("other"), F.col("count").alias("other_freq")))
+    found = pipelines.corrections(vocabulary.word_frequency(table(spark, d, "documents")))
     return found.withColumn("rel", F.round("rel", 9))
 
 
+_BEST = f"""{_NEAR}, b AS (SELECT query AS token, query_count AS freq, arg_max(term, struct_pack(c := count, t := term)) AS term, max(count) AS top FROM near GROUP BY query, query_count),
+ c AS (SELECT token, freq, CASE WHEN top > freq THEN term ELSE token END AS correction, greatest(top / freq, 1.0) = 1 AS stable FROM b),
+ eng AS (SELECT token FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents WHERE lang = 'en') GROUP BY token HAVING count(*) >= 5),
+ s AS (SELECT *, token IN (SELECT token FROM eng) AS english, correction IN (SELECT token FROM eng) AS english_correction,
+  CASE WHEN length(token) > 1 AND (token[-2:] IN ('ed', 'er') OR token[-1:] = 's' AND token[-2:-2] <> 's') THEN token[:-2] ELSE token END AS plain FROM c),
+ w AS (SELECT *, NOT stable AND NOT english AND plain = correction AS word FROM s), g AS (SELECT token FROM w WHERE word UNION SELECT correction FROM w WHERE word),
+ r AS (SELECT * FROM w WHERE NOT english AND token NOT IN (SELECT token FROM g))"""
+
+
+def english_words(spark, d):
+    """The words that occur five times in English documents."""
+    return vocabulary.word_frequency(table(spark, d, "documents").where("lang = 'en'")).where("freq >= 5").select("token")
+
+
+@query(f"""{_BEST} SELECT token, freq FROM c WHERE token IN (SELECT token FROM eng UNION SELECT token FROM g UNION (SELECT token FROM r WHERE stable ORDER BY freq DESC, token LIMIT 1000)
+ UNION (SELECT token FROM r WHERE NOT stable AND english_correction ORDER BY freq DESC, token LIMIT 500) UNION (SELECT token FROM r WHERE NOT stable AND NOT english_correction ORDER BY freq DESC, token LIMIT 500))""")
+def generated_vocabulary(spark, d):
+    """The English words, forms of one word, and the most frequent of the other tokens by kind."""
+    return pipelines.vocabulary_from(vocabulary.word_frequency(table(spark, d, "documents")), english_words(spark, d), 1000, 500, 500)
+
+
 _VECTORS = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"
 
 
@@ -111,7 +152,7 @@ def context_cosine(spark, d):
 
 
 @query(f"""{_NEAR} SELECT query, term, CAST(distance AS INTEGER) AS distance, query_count AS query_freq, count AS term_freq, round(0.0 - ln((query_count + 1e-5) / (count + 1e-5)), 9) AS log_ratio, length(query) = length(term) AS same_length FROM near""")
-def candidate_features(spark, d):
+def frequency_features(spark, d):
     words = dictionary(spark, d).select(F.col("term").alias("token"), F.col("count").alias("freq"))
     found = fuzzy.candidate_features(near(spark, d).select("query", "term", "distance"), words)
     return found.withColumn("log_ratio", F.round("log_ratio", 9))
@@ -145,16 +186,15 @@ def normalise_confidence(spark, d):
     return fuzzy.normalised(candidates(spark, d)).select("id", "candidate", F.round("share", 9).alias("share"))
 
 
-_PARTS = "SELECT l_orderkey AS id, l_linenumber AS place, l_returnflag || l_suppkey AS candidate, l_quantity / 64.0 AS proba FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem WHERE l_orderkey % 50 = 0) WHERE k <= 3"
+#: Candidates of every place of every order: its lines, likelier by quantity. Equal ones are told apart by their text.
+_PARTS = "SELECT DISTINCT l_orderkey AS id, l_linenumber AS place, l_returnflag || l_suppkey AS candidate, l_quantity / 64.0 AS proba FROM lineitem WHERE l_linenumber <= 2"
 
 
-@query(f"""WITH p AS ({_PARTS}), q AS (SELECT id, candidate || '.a' AS c1, proba AS p1, place, candidate FROM p), n AS (SELECT id, count(DISTINCT place) AS places FROM p GROUP BY id)
-SELECT a.id, a.candidate || ' ' || b.candidate AS text, round(a.proba * b.proba, 9) AS proba FROM p a JOIN p b ON a.id = b.id JOIN n ON n.id = a.id AND places = 2 WHERE a.place < b.place
-QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY a.proba * b.proba DESC, a.candidate || ' ' || b.candidate) <= 2""")
+@query(f"""WITH p AS ({_PARTS}), a AS (SELECT * FROM p WHERE place = 1), b AS (SELECT * FROM p WHERE place = 2), n AS (SELECT id FROM p GROUP BY id HAVING count(DISTINCT place) = 1),
+ c AS (SELECT a.id, a.candidate || ' ' || b.candidate AS text, a.proba * b.proba AS proba FROM a JOIN b ON a.id = b.id UNION ALL SELECT p.id, candidate, proba FROM p JOIN n ON p.id = n.id)
+SELECT id, text, round(proba, 9) AS proba FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY proba DESC, text) <= 2""")
 def identifier_product(spark, d):
-    """The two likeliest combinations of candidates of identifiers with two places."""
-    order = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)"
-    lines = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").withColumn("k", F.expr(order)).where("k <= 3")
-    parts = lines.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("place"), F.concat("l_returnflag", "l_suppkey").alias("candidate"), (F.col("l_quantity") / 64.0).alias("proba"))
-    two = parts.groupBy("id").agg(F.count_distinct("place").alias("n")).where("n = 2").select("id")
-    return fuzzy.combinations(parts.join(two, "id", "left_semi"), 2).withColumn("proba", F.round("proba", 9))
+    """The two likeliest combinations of the candidates of the first two places of each order."""
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 2")
+    parts = lines.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("place"), F.concat("l_returnflag", "l_suppkey").alias("candidate"), (F.col("l_quantity") / 64.0).alias("proba")).distinct()
+    return fuzzy.combinations(parts, 2).withColumn("proba", F.round("proba", 9))

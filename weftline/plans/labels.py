@@ -27,16 +27,17 @@ def lexer_token_counts(spark, d):
     return tokens(spark, d).groupBy("page_id").agg(F.count("*").alias("n"), F.max("stop").alias("size"), F.max("line").alias("lines"), F.count_distinct("value").alias("kinds"))
 
 
-@query(f"WITH {TOKENS} SELECT page_id, CAST(idx AS BIGINT) AS idx, value, CAST(start AS BIGINT) AS start, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col FROM tok WHERE idx % 17 = 3")
+@query(f"WITH {TOKENS} SELECT page_id, CAST(idx AS BIGINT) AS idx, value, CAST(start AS BIGINT) AS start, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col FROM tok")
 def token_offsets_lines(spark, d):
-    return tokens(spark, d).where("idx % 17 = 3").select("page_id", F.col("idx").cast("long").alias("idx"), "value", "start", "line", "col")
+    return tokens(spark, d).select("page_id", F.col("idx").cast("long").alias("idx"), "value", "start", "line", "col")
 
 
-@query("SELECT page_id, true AS whole FROM pages WHERE html <> ''")
+@query(f"WITH {TOKENS} SELECT page_id, md5(string_agg(value, '' ORDER BY idx)) AS digest, count(*) AS n FROM tok GROUP BY page_id")
 def lexer_roundtrip(spark, d):
-    """The tokens, joined, are the text."""
-    text = fixes.text_of(tokens(spark, d), "page_id")
-    return table(spark, d, "pages").join(text, "page_id").select("page_id", (F.col("text") == F.col("html")).alias("whole"))
+    """The tokens, joined again; the tests hold them against the text."""
+    rows = tokens(spark, d)
+    text, sizes = fixes.text_of(rows, "page_id"), rows.groupBy("page_id").agg(F.count("*").alias("n"))
+    return text.join(sizes, "page_id").select("page_id", F.md5(F.col("text").cast("binary")).alias("digest"), "n")
 
 
 @query(f"WITH {TOKENS} SELECT class, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS chars FROM tok GROUP BY class")
@@ -50,9 +51,9 @@ _COMPOSITE = f"""WITH {TOKENS}, m AS (SELECT * FROM tok WHERE class <> 'none'),
  g AS (SELECT page_id, min(idx) AS first, string_agg(class, '+' ORDER BY idx) AS label FROM r GROUP BY page_id, run)"""
 
 
-@query(f"{_COMPOSITE} SELECT page_id, CAST(first AS BIGINT) AS first, label FROM g WHERE label <> 'space'")
+@query(f"{_COMPOSITE} SELECT page_id, CAST(first AS BIGINT) AS first, label FROM g")
 def composite_labels(spark, d):
-    return labels.composites(tokens(spark, d), "page_id").where("label <> 'space'").withColumn("first", F.col("first").cast("long"))
+    return labels.composites(tokens(spark, d), "page_id").withColumn("first", F.col("first").cast("long"))
 
 
 @query(f"{_COMPOSITE}, s AS (SELECT label, count(*) AS support FROM g GROUP BY label HAVING count(*) >= 20) SELECT label, support, CAST(row_number() OVER (ORDER BY support DESC, label) - 1 AS INTEGER) AS label_id FROM s")
@@ -86,10 +87,10 @@ def quote_pairs(spark, d):
 
 
 @query(f"""WITH {TOKENS}, k AS (SELECT * FROM tok WHERE class NOT IN ('space', 'newline')),
- n AS (SELECT *, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, lead(value, 1) OVER w AS r1, lead(value, 2) OVER w AS r2, least(abs(start - lag(start) OVER w), 255) AS diff_start, least(abs(line - lag(line) OVER w), 255) AS diff_line, least(abs(col - lag(col) OVER w), 255) AS diff_col FROM k WINDOW w AS (PARTITION BY page_id ORDER BY idx))
-SELECT page_id, CAST(idx AS BIGINT) AS idx, l1, l2, r1, r2, CAST(diff_start AS BIGINT) AS diff_start, CAST(diff_line AS BIGINT) AS diff_line, CAST(diff_col AS BIGINT) AS diff_col FROM n WHERE idx % 23 = 5""")
+ n AS (SELECT *, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, lead(value, 1) OVER w AS r1, lead(value, 2) OVER w AS r2, least(coalesce(abs(start - lag(start) OVER w), 0), 255) AS diff_start, least(coalesce(abs(line - lag(line) OVER w), 0), 255) AS diff_line, least(coalesce(abs(col - lag(col) OVER w), 0), 255) AS diff_col FROM k WINDOW w AS (PARTITION BY page_id ORDER BY idx))
+SELECT page_id, CAST(idx AS BIGINT) AS idx, l1, l2, r1, r2, CAST(diff_start AS BIGINT) AS diff_start, CAST(diff_line AS BIGINT) AS diff_line, CAST(diff_col AS BIGINT) AS diff_col FROM n""")
 def neighbour_window_features(spark, d):
-    return labels.neighbours(tokens(spark, d), "page_id").where("idx % 23 = 5").select("page_id", F.col("idx").cast("long").alias("idx"), "l1", "l2", "r1", "r2", *(F.col(f"diff_{c}").cast("long").alias(f"diff_{c}") for c in ("start", "line", "col")))
+    return labels.neighbours(tokens(spark, d), "page_id").select("page_id", F.col("idx").cast("long").alias("idx"), "l1", "l2", "r1", "r2", *(F.col(f"diff_{c}").cast("long").alias(f"diff_{c}") for c in ("start", "line", "col")))
 
 
 _RESERVED = ["<", ">", "=", "/", "div", "p"]
@@ -139,13 +140,13 @@ def lca(spark, d):
 
 
 def layers(spark, d):
-    """Two layers per page, from the tokens: every 40th token with its 9 followers, and every 25th token."""
+    """Two layers per page, from the tokens: all single tokens, and every 40th token with its 9 followers."""
     rows = tokens(spark, d).select("page_id", "idx", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
     long = rows.groupBy("page_id", F.floor(F.col("idx") / 40).alias("k")).agg(F.min("start").alias("start"), F.max(F.when(F.col("idx") % 40 < 10, F.col("stop"))).alias("stop"))
-    return rows.where("idx % 25 < 3").select("page_id", "start", "stop"), long.select("page_id", "start", "stop")
+    return rows.select("page_id", "start", "stop"), long.select("page_id", "start", "stop")
 
 
-_LAYERS = f"""WITH {TOKENS}, a AS (SELECT page_id, CAST(start AS BIGINT) AS a_start, CAST(stop AS BIGINT) AS a_stop FROM tok WHERE idx % 25 < 3),
+_LAYERS = f"""WITH {TOKENS}, a AS (SELECT page_id, CAST(start AS BIGINT) AS a_start, CAST(stop AS BIGINT) AS a_stop FROM tok),
  b AS (SELECT page_id, CAST(min(start) AS BIGINT) AS b_start, CAST(max(CASE WHEN idx % 40 < 10 THEN stop END) AS BIGINT) AS b_stop FROM tok GROUP BY page_id, idx // 40)"""
 
 
@@ -159,10 +160,12 @@ def span_overlap_join(spark, d):
     return spans.overlap_join(*layers(spark, d), "page_id")
 
 
-@query(f"{_LAYERS} SELECT page_id, b_start AS start, b_stop AS stop FROM b WHERE EXISTS (SELECT 1 FROM a WHERE a.page_id = b.page_id AND a_start = b_start AND a_stop = b_stop)")
+@query(f"WITH {TOKENS}, a AS (SELECT page_id, start, stop, lead(stop) OVER (PARTITION BY page_id ORDER BY idx) AS next FROM tok) SELECT page_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM tok WHERE value = '<' AND (page_id, start, stop) IN (SELECT page_id, start, stop FROM a WHERE next IS NOT NULL)")
 def span_exact_join(spark, d):
-    short, long = layers(spark, d)
-    return spans.exact_join(long, short, "page_id")
+    """The opening brackets that a token follows: spans of one layer that another one has too."""
+    rows = tokens(spark, d)
+    followed = rows.withColumn("next", F.expr("lead(stop) over (partition by page_id order by idx)")).where("next is not null")
+    return spans.exact_join(rows.where("value = '<'").select("page_id", "start", "stop"), followed, "page_id")
 
 
 @query(f"""WITH {TOKENS}, f AS (SELECT page_id, line, idx, value AS old, CASE WHEN value = '"' THEN '`' ELSE value END AS new, 0.5 + (idx % 4) / 8.0 AS conf FROM tok),
@@ -175,6 +178,7 @@ def line_fixes(spark, d):
     return fixes.line_fixes(fixes.with_labels(t, guess, ["page_id", "idx"]), "page_id").select("page_id", F.col("line").cast("long").alias("line"), F.length("old").cast("long").alias("old_size"), F.length("new").cast("long").alias("new_size"), "confidence")
 
 
-@query("""SELECT doc_id FROM documents WHERE length(replace(text, '(', '')) <> length(replace(text, ')', '')) OR length(replace(text, '[', '')) <> length(replace(text, ']', '')) OR length(replace(text, '{', '')) <> length(replace(text, '}', '')) OR (length(text) - length(replace(text, '"', ''))) % 2 = 1""")
+@query("""WITH texts AS (SELECT page_id, html AS text FROM pages) SELECT page_id FROM texts WHERE length(replace(text, '(', '')) <> length(replace(text, ')', '')) OR length(replace(text, '[', '')) <> length(replace(text, ']', '')) OR length(replace(text, '{', '')) <> length(replace(text, '}', '')) OR (length(text) - length(replace(text, '"', ''))) % 2 = 1""")
 def bracket_balance(spark, d):
-    return fixes.unbalanced(table(spark, d, "documents"), "doc_id")
+    """The pages whose brackets or quotes don't pair up."""
+    return fixes.unbalanced(table(spark, d, "pages").withColumnRenamed("html", "text"), "page_id")

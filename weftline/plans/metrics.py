@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions.text import rewrite
-from weftline.operators import metrics, vocabulary
+from weftline.operators import alignment, metrics, vocabulary
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 
@@ -100,31 +100,45 @@ def weighted_average(spark, d):
     return _rounded(orders.groupBy("o_orderpriority").agg(mean).unionByName(none), "mean", digits=6)
 
 
-@query("SELECT l_orderkey, round(1 - product(1 - l_discount), 9) AS any FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 4")
+@query("SELECT l_orderkey, round(1 - product(1 - l_discount) + 1e-12, 9) AS any FROM lineitem GROUP BY l_orderkey")
 def joint_probability(spark, d):
-    grouped = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_discount")).alias("c")).where("size(c) <= 4")
-    return grouped.select("l_orderkey", F.round(metrics.joint(F.col("c")), 9).alias("any"))
+    grouped = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_discount")).alias("c"))
+    return grouped.select("l_orderkey", F.round(metrics.joint(F.col("c")) + 1e-12, 9).alias("any"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, text, text[length(text) // 2 + 1:] AS rest FROM documents), n AS (SELECT doc_id, length(text) - length(replace(text, ', ', ',')) AS n, length(rest) - length(replace(rest, ', ', ',')) AS later FROM t)
+SELECT doc_id, 0 AS misdetected, CAST(later AS INTEGER) AS undetected, 0 AS wrong_fix, CAST(n - later AS INTEGER) AS right_fix FROM n""")
 def aligned_metrics(spark, d):
-    """A text's beginning, restyled, and a prediction that restores half of it; held against goldens in the tests."""
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 160).alias("a"))
-    docs = docs.withColumn("b", rewrite("a", "comma_tight")).withColumn("c", F.concat(F.substring("a", 1, 60), rewrite(F.substring("a", 61, 100), "comma_tight")))
-    return metrics.aligned_metrics(docs, "a", "b", "c").drop("a", "b", "c")
+    """A text, restyled, and a prediction that restores its first half."""
+    half = F.floor(F.length("a") / 2).cast("int")
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
+    first, rest = F.substring(F.col("a"), F.lit(1), half), F.substring(F.col("a"), half + 1, F.length("a"))
+    docs = docs.withColumn("b", rewrite("a", "comma_tight")).withColumn("c", F.concat(first, rewrite(rest, "comma_tight")))
+    return alignment.aligned_metrics(docs, "a", "b", "c").drop("a", "b", "c")
 
 
-@query("SELECT CAST(200 AS BIGINT) AS draws, true AS several")
+_DRAWS = 200
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_custkey % 10 + 1 AS freq, md5(CAST(c_custkey AS VARCHAR))[1:3] AS bucket FROM customer),
+ r AS (SELECT c_custkey, freq, sum(freq) OVER (ORDER BY bucket, c_custkey) AS high FROM p), t AS (SELECT sum(freq) AS total FROM p),
+ d AS (SELECT k AS draw, CAST(floor(((k + 1) * 1103515245 + 12345) % 2147483648 / 2147483648.0 * total) AS BIGINT) AS pos FROM range({_DRAWS}) n(k), t)
+SELECT draw, c_custkey FROM d JOIN r ON high - freq <= pos AND pos < high""")
 def weighted_sample(spark, d):
-    """Two hundred draws in proportion to the weight; the tests hold the draws against the summed ranges."""
-    nations = table(spark, d, "nation").select("n_nationkey", (F.pmod(F.col("n_nationkey") * 7 + 3, F.lit(10)) + 1).alias("freq"))
-    drawn = vocabulary.weighted_sample(nations, 200, "freq", "n_nationkey")
-    return drawn.agg(F.count("*").alias("draws"), (F.count_distinct("n_nationkey") > 1).alias("several"))
+    """Customers drawn in proportion to a weight."""
+    customers = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 10 + 1).alias("freq"))
+    return vocabulary.weighted_sample(customers, _DRAWS, "freq", "c_custkey").select("draw", "c_custkey")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events")
+@query("SELECT event_id, CASE WHEN CAST('0x' || md5(CAST(user_id AS VARCHAR))[1:8] AS BIGINT) % 100 < 90 THEN 'train' ELSE 'test' END AS part FROM events")
 def hash_split(spark, d):
-    """Users dealt to train and test: all rows stay, and no user is in both."""
-    parts = vocabulary.hash_split(table(spark, d, "events"), "user_id")
-    one = parts.groupBy("user_id").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n")).where("parts = 1")
-    return one.agg(F.sum("n").alias("n"), F.count("*").alias("users"))
+    """Events dealt to train and test by their user."""
+    return vocabulary.hash_split(table(spark, d, "events"), "user_id").select("event_id", "part")
+
+
+@query("""WITH a AS (SELECT avg(c_acctbal + 1000) AS mean FROM customer) SELECT c_custkey FROM customer, a
+WHERE CAST('0x' || md5(CAST(c_custkey AS VARCHAR))[1:8] AS BIGINT) / 4294967296.0 < 0.3 * (c_acctbal + 1000) / mean""")
+def picked_subset(spark, d):
+    """Customers picked with a chance that grows with their balance."""
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") + 1000).alias("w"))
+    return vocabulary.pick_subset(rows, 0.3, "c_custkey", "w").select("c_custkey")

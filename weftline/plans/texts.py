@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import STYLES, common_prefix, context, lower_words, rebuild_identifier, rewrite, split_identifier, split_words
 from weftline.operators import metrics, vocabulary
+from weftline.operators.quantiles import quantiles
 from weftline.plans.registry import query
 from weftline.sources.tables import embedded_json, pipe_table, table
 
@@ -48,11 +49,11 @@ def context_before_after(spark, d):
     return words.withColumn("token", F.explode(F.array_distinct("w"))).select("id", "token", before.alias("before"), after.alias("after"))
 
 
-@query(f"SELECT id, upper(name) = name AS all_upper, name AS rebuilt FROM ({IDENT_SQL})")
+@query(f"SELECT id, name, translate(name, 'aeiouAEIOU', 'eiouaEIOUA') AS rebuilt FROM ({IDENT_SQL})")
 def identifier_rebuild(spark, d):
-    """An identifier rebuilt from its own parts is itself."""
+    """An identifier with every part replaced by one of other vowels."""
     parts = split_identifier("name")
-    return identifiers(spark, d).select("id", (F.upper("name") == F.col("name")).alias("all_upper"), rebuild_identifier("name", parts, parts).alias("rebuilt"))
+    return identifiers(spark, d).select("id", "name", rebuild_identifier("name", parts, F.transform(parts, lambda p: F.translate(p, "aeiou", "eioua"))).alias("rebuilt"))
 
 
 @query(f"""WITH v AS (SELECT token FROM ({TOKENS_SQL}) ORDER BY freq DESC, token LIMIT 3000), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents)
@@ -122,12 +123,10 @@ def style_rewrites(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", F.explode(rows).alias("r")).select("doc_id", "r.style", F.length("r.new").alias("n"), (F.col("r.new") != F.col("text")).alias("changed"))
 
 
-@query("""WITH p AS (SELECT doc_id, text[1:400] AS a, regexp_replace(text, ', ', ',', 'g')[1:400] AS b FROM documents)
-SELECT doc_id, coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: a[k] <> b[k])) - 1, least(length(a), length(b))) AS same FROM p""")
+@query("SELECT doc_id, CASE WHEN strpos(text, ', ') > 0 THEN strpos(text, ', ') + length(regexp_extract(text, ', ( *)', 1)) ELSE length(text) END AS same FROM documents")
 def first_changed_offset(spark, d):
-    """Over the first 400 characters of a text and of its rewritten form, as the operator takes lines, not files."""
-    new = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("a"), F.substring(rewrite("text", "comma_tight"), 1, 400).alias("b"))
-    return new.select("doc_id", common_prefix("a", "b").cast("long").alias("same"))
+    """Where a text and its rewritten form begin to differ."""
+    return table(spark, d, "documents").select("doc_id", common_prefix("text", rewrite("text", "comma_tight")).cast("long").alias("same"))
 
 
 @query("""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(license|token|mail)') AND NOT regexp_matches(text, '(?i)(idiot|scum)')""")
@@ -147,41 +146,48 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", k.alias("k")).where("k % 7 = 0")
 
 
-@query("SELECT user_id, arg_min(event_id, ts) AS first_event, arg_min(event_type, ts) AS first_type FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_min(event_id, struct_pack(a := ts, b := event_id)) AS first_event, arg_min(event_type, struct_pack(a := ts, b := event_id)) AS first_type FROM events GROUP BY user_id")
 def earliest_per_group(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", "ts").alias("first_event"), F.min_by("event_type", "ts").alias("first_type"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"))
 
 
 @query("""SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS low, round(quantile_cont(value, 0.25), 6) AS q1,
  round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS high FROM events GROUP BY event_type""")
 def describe_report(spark, d):
-    q = [F.round(F.percentile("value", p), 6).alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("low"), *q, F.max("value").alias("high"))
+    events = table(spark, d, "events")
+    plain = events.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    middle = quantiles(events, "event_type", "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return plain.join(middle, "event_type", "left").select("event_type", "n", "mean", "std", "low", *(F.round(c, 6).alias(c) for c in ("q1", "median", "q3")), "high")
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') LIKE '1998-%' AND o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') LIKE '1998-%' AND o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")
 def date_parse(spark, d):
     """A date of a text in the one known form, else null."""
     text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return table(spark, d, "orders").where(F.year("o_orderdate") == 1998).select("o_orderkey", F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date").alias("day"))
+    return table(spark, d, "orders").select("o_orderkey", F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date").alias("day"))
 
 
-_CORRUPT = """SELECT token AS correct_token, rank, (length(token) + ascii(token)) % 4 AS kind, CAST(floor(length(token) / 2) AS INTEGER) + 1 AS pos FROM (SELECT token, row_number() OVER (ORDER BY freq DESC, token) AS rank FROM ({0})) WHERE rank <= 2000"""
+_RANKED = f"SELECT token, row_number() OVER (ORDER BY freq DESC, token) AS rank FROM ({TOKENS_SQL})"
+_CORRUPT = f"""SELECT correct_token, rank, CASE kind WHEN 0 THEN correct_token[1:pos - 1] || correct_token[pos + 1:] WHEN 1 THEN correct_token[1:pos] || correct_token[pos:]
+ WHEN 2 THEN correct_token[1:pos - 1] || correct_token[pos + 1:pos + 1] || correct_token[pos:pos] || correct_token[pos + 2:] ELSE correct_token[1:pos - 1] || 'x' || correct_token[pos + 1:] END AS token
+ FROM (SELECT token AS correct_token, rank, (length(token) + ascii(token)) % 4 AS kind, CAST(floor(length(token) / 2) AS INTEGER) + 1 AS pos FROM ({_RANKED}))"""
 
 
-@query(f"""SELECT correct_token, rank, CASE kind WHEN 0 THEN correct_token[1:pos - 1] || correct_token[pos + 1:] WHEN 1 THEN correct_token[1:pos] || correct_token[pos:]
- WHEN 2 THEN correct_token[1:pos - 1] || correct_token[pos + 1:pos + 1] || correct_token[pos:pos] || correct_token[pos + 2:] ELSE correct_token[1:pos - 1] || 'x' || correct_token[pos + 1:] END AS token FROM ({_CORRUPT.format(TOKENS_SQL)})""")
+def ranked(spark, d):
+    """(token, freq, rank) of all words: a report of the vocabulary, which is sorted as one for its ranks."""
+    return vocabulary.ranked(vocabulary.word_frequency(table(spark, d, "documents")))
+
+
+@query(f"SELECT correct_token, rank, token FROM ({_CORRUPT})")
 def corrupt_tokens(spark, d):
-    top = vocabulary.top_tokens(vocabulary.word_frequency(table(spark, d, "documents")), 2000)
-    return vocabulary.corrupt(top).select("correct_token", "rank", "token")
+    return vocabulary.corrupt(ranked(spark, d)).select("correct_token", "rank", "token")
 
 
-@query(f"""WITH t AS (SELECT token, rank FROM (SELECT token, row_number() OVER (ORDER BY freq DESC, token) AS rank FROM ({TOKENS_SQL})) WHERE rank <= 2000)
-SELECT rank, row_number() OVER (ORDER BY (rank * 1103515245 + 12345) % 2147483648, rank) <= 500 AS changed FROM t""")
+@query(f"""WITH c AS ({_CORRUPT}), o AS (SELECT *, row_number() OVER (ORDER BY (rank * 1103515245 + 12345) % 2147483648, rank) AS place, count(*) OVER () AS n FROM c)
+SELECT rank, correct_token, CASE WHEN place <= CAST(floor(0.25 * n) AS BIGINT) THEN token ELSE correct_token END AS token FROM o""")
 def corrupt_exactly(spark, d):
-    """Exactly a quarter of the tokens is corrupted; a swap of two equal letters may leave its token as it was, so the choice is compared."""
-    top = vocabulary.top_tokens(vocabulary.word_frequency(table(spark, d, "documents")), 2000).select("token", "rank")
-    return vocabulary.corrupt_exactly(top, 0.25, "rank").select("rank", F.col("correct_token").isNotNull().alias("any"), "token").join(top.orderBy(vocabulary.generator(F.col("rank")), "rank").limit(500).select("rank", F.lit(True).alias("hit")), "rank", "left").select("rank", F.coalesce("hit", F.lit(False)).alias("changed"))
+    """Exactly a quarter of the tokens is corrupted; a swap of two equal letters may leave one as it was."""
+    return vocabulary.corrupt_exactly(ranked(spark, d), 0.25, "rank").select("rank", "correct_token", "token")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_tax = 0")
@@ -191,12 +197,13 @@ def set_operations(spark, d):
     return large.intersect(orders.where("o_orderstatus = 'F'").select("o_orderkey")).subtract(lines.where("l_tax = 0").select("l_orderkey"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en'), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.w AS x, b.w AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 20)
+@query(f"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.w AS x, b.w AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
 SELECT a, b, round(len(list_intersect(x, y)) / greatest(len(list_distinct(list_concat(x, y))), 1), 9) AS jaccard FROM p""")
 def token_jaccard(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_distinct(lower_words("text")).alias("w"))
+    """Of neighbours by id."""
+    t = table(spark, d, "documents").select("doc_id", F.array_distinct(lower_words("text")).alias("w"))
     a, b = t.select(F.col("doc_id").alias("a"), F.col("w").alias("x")), t.select(F.col("doc_id").alias("b"), F.col("w").alias("y"))
-    return a.join(b, F.col("b") == F.col("a") + 20).select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.greatest(F.size(F.array_union("x", "y")), F.lit(1)), 9).alias("jaccard"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.greatest(F.size(F.array_union("x", "y")), F.lit(1)), 9).alias("jaccard"))
 
 
 _PIPES = """SELECT n_nationkey AS n, '| ' || n_name || ' | ' || n_regionkey || ' | ' || CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE CAST(n_nationkey * 2 AS VARCHAR) END || ' |' AS line FROM nation
