@@ -180,3 +180,18 @@ def test_many_rules_are_joined(spark, monkeypatch):
     few = sorted(map(tuple, rules.apply_rules(df, many, ["id"], ["x"]).collect()))
     monkeypatch.setattr(rules, "WRITTEN", 3)
     assert sorted(map(tuple, rules.apply_rules(df, many, ["id"], ["x"]).collect())) == few == [(0, "1", 4), (1, None, None), (2, None, None)]
+
+
+def test_settings_are_searched(spark):
+    rnd = random.Random(3)
+    rows = [(a := rnd.random() * 4, rnd.random(), int(a > 2)) for _ in range(240)]
+    found = rules.search(spark.createDataFrame(rows, "a double, b double, y int"), ["a", "b"], "y", 2, 2, ranges={"minInstancesPerNode": (2, 150), "maxDepth": (2,), "forest": (False,)})
+    assert [s["minInstancesPerNode"] for s, _ in found] == [2, 150]
+    assert found[0][1] > 0.9 > found[1][1]
+
+
+def test_lists_of_suggestions(spark):
+    lists = spark.createDataFrame([(1, "a", [("b", 0.9), ("c", 0.1)])], "id int, token string, suggestions array<struct<candidate:string,proba:double>>")
+    flat = corrector.flat_suggestions(lists)
+    assert [(r["rank"], r.candidate) for r in flat.collect()] == [(1, "b"), (2, "c")]
+    assert corrector.listed_suggestions(flat).collect() == lists.collect()

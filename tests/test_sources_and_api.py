@@ -224,3 +224,15 @@ def test_languages(spark):
     nodes = spark.createDataFrame([("Identifier", ["EXPR"], "a"), (None, None, "=("), (None, None, "(")], "type string, roles array<string>, value string")
     assert {(r.kind, r.name): r.n for r in api.language_statistics(nodes).collect()} == {("type", "Identifier"): 1, ("role", "EXPR"): 1, ("sign", "="): 1, ("sign", "("): 2}
     del api.LANGUAGES["js"]
+
+
+def test_counts_and_plans(spark):
+    df = spark.range(3)
+    assert api.checked_count(df, 3) is df
+    assert api.checked_count(spark.range(2), 3, lambda: df) is df
+    with pytest.raises(ValueError, match="3 rows"):
+        api.checked_count(spark.range(2), 3)
+    logged = []
+    api.profiled(df, logged.append)
+    assert "Physical Plan" in logged[0]
+    assert json.loads(api.as_json(spark.createDataFrame([(1, "x")], "a int, b string"), ["a"]).first().json) == {"b": "x"}

@@ -333,3 +333,29 @@ def language_statistics(nodes: DataFrame) -> DataFrame:
     roles = F.transform(F.coalesce("roles", F.array().cast("array<string>")), lambda r: F.struct(F.lit("role").alias("kind"), r.alias("name")))
     signs = F.transform(F.when(F.col("type").isNull(), F.regexp_extract_all("value", F.lit(r"[^\w\s]"), F.lit(0))).otherwise(F.array().cast("array<string>")), lambda c: F.struct(F.lit("sign").alias("kind"), c.alias("name")))
     return nodes.select(F.explode(F.concat(kinds, roles, signs)).alias("x")).where("x.name is not null").groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
+def checked_count(df: DataFrame, expected: int, retry: Callable[[], DataFrame] | None = None, tries: int = 3) -> DataFrame:
+    """df if it has so many rows; else what retry() gives, a few times; then an error."""
+    for _ in range(tries):
+        if (n := df.count()) == expected:
+            return df
+        if retry is None:
+            break
+        df = retry()
+    raise ValueError(f"{expected} rows were expected, and there are {n}")
+
+
+def profiled(df: DataFrame, log: Callable[[str], None] = print) -> DataFrame:
+    """Runs df once without keeping its rows, and logs its seconds and its plan; gives df."""
+    import time
+
+    began = time.time()
+    df.write.format("noop").mode("overwrite").save()
+    log(f"{time.time() - began:.3f} s\n{df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString('formatted'))}")
+    return df
+
+
+def as_json(df: DataFrame, id_cols: list[str]) -> DataFrame:
+    """(ids, json): each row's other columns as one JSON text, for a viewer or a checkpoint."""
+    return df.select(*id_cols, F.to_json(F.struct(*(c for c in df.columns if c not in id_cols))).alias("json"))

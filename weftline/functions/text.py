@@ -207,3 +207,10 @@ def unwrapped(token: Column | str) -> Column:
     token = _col(token)
     quoted = (F.length(token) >= 2) & F.left(token, F.lit(1)).isin("'", '"') & (F.left(token, F.lit(1)) == F.right(token, F.lit(1)))
     return F.when(quoted, F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(token)
+
+
+def merged_map(base: Column | str, own: Column | str) -> Column:
+    """Both maps as one; where both have a key, the second one's value."""
+    base, own = _col(base), _col(own)
+    rest = F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k))
+    return F.coalesce(F.map_concat(rest, own), base, own)

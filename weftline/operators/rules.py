@@ -320,3 +320,49 @@ def importances(model, features: list[str], spark, n: int = 25) -> DataFrame:
     """(feature, importance): a fitted tree model's n most important features."""
     weights = model.featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(features, weights, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
+
+
+def describe_samples(samples: DataFrame, id_cols: list[str], features: list[str]) -> DataFrame:
+    """(ids, text): each row's features in words: a number's value; of 0/1 columns name=value those that are 1, or ∅."""
+    plain = [f for f in features if "=" not in f]
+    groups: dict[str, list[str]] = {}
+    for f in features:
+        if "=" in f:
+            groups.setdefault(f.split("=")[0], []).append(f)
+    parts = [F.concat(F.lit(f"{f} = "), F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("∅"))) for f in plain]
+    for name, columns in groups.items():
+        active = F.array_compact(F.array(*(F.when(F.col(f"`{c}`") > 0, F.lit(c.split("=", 1)[1])) for c in columns)))
+        shown = F.when(F.size(active) == 0, F.lit("∅")).when(F.size(active) == 1, active[0]).otherwise(F.concat(F.lit("{"), F.array_join(active, ", "), F.lit("}")))
+        parts.append(F.concat(F.lit(f"{name} = "), shown))
+    return samples.select(*id_cols, F.concat_ws("; ", *parts).alias("text"))
+
+
+#: The ranges of a tree's settings that search() draws from. Fixed values.
+RANGES = {"maxDepth": (5, 10, 12), "minInstancesPerNode": tuple(range(90, 121, 10)), "forest": (False, True)}
+
+
+def search(samples: DataFrame, features: list[str], label: str, n: int = 6, folds: int = 3, seed: int = 42, ranges: dict[str, tuple] | None = None):
+    """(settings, score) of n drawn settings, the best first: the mean share of right predictions over the folds, each setting's trees being fitted on the
+    others. label: whole numbers from 0."""
+    import random
+
+    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    names, draw = RANGES | (ranges or {}), random.Random(seed)
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(samples).select("_x", F.col(label).cast("double").alias("_y")).persist()
+    rate = MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy")
+    drawn = list(dict.fromkeys(tuple(draw.choice(names[k]) for k in sorted(names)) for _ in range(20 * n)))[:n]
+    out = []
+    try:
+        for values in drawn:
+            chosen = dict(zip(sorted(names), values, strict=True))
+            common = {k: v for k, v in chosen.items() if k != "forest"} | {"featuresCol": "_x", "labelCol": "_y", "maxBins": 256, "seed": seed}
+            tree = RandomForestClassifier(numTrees=10, **common) if chosen["forest"] else DecisionTreeClassifier(**common)
+            found = CrossValidator(estimator=tree, estimatorParamMaps=ParamGridBuilder().build(), evaluator=rate, numFolds=folds, seed=seed).fit(data)
+            out.append((chosen, found.avgMetrics[0]))
+    finally:
+        data.unpersist()
+    return sorted(out, key=lambda r: -r[1])

@@ -69,3 +69,17 @@ def common_ancestor(pairs: DataFrame, nodes: DataFrame, depth: int) -> DataFrame
     shared = left.join(up.toDF("b", "up_b", "ancestor"), ["b", "ancestor"])
     best = shared.groupBy("a", "b").agg(F.min_by("ancestor", F.struct(F.col("up_a") + F.col("up_b"), F.col("ancestor"))).alias("ancestor"))
     return pairs.join(best, ["a", "b"], "left")
+
+
+def kept_spans(spans: DataFrame, key: str) -> DataFrame:
+    """Of each key's spans, in the order of their starts, longer ones first, those that don't overlap the last one kept. A key, one text, is one
+    fold over its spans."""
+    lists = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("far")))).alias("all"))
+    none = F.struct(F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("kept"), F.lit(-1).cast("long").alias("end"))
+
+    def step(state, span):
+        start, stop = span["start"].cast("long"), (-span["far"]).cast("long")
+        taken = F.struct(F.concat(state["kept"], F.array(F.struct(start.alias("start"), stop.alias("stop")))).alias("kept"), stop.alias("end"))
+        return F.when(start >= state["end"], taken).otherwise(state)
+
+    return lists.select(key, F.explode(F.aggregate("all", none, step, lambda s: s["kept"])).alias("s")).select(key, "s.start", "s.stop")

@@ -192,3 +192,37 @@ def size_budget(files: DataFrame, longest_line: int, budget: int, order: str, te
     starts = starts.withColumn("start", F.sum("all").over(Window.orderBy("bucket")) - F.col("all")).where(F.col("start") <= budget).select("bucket", "start")
     running = F.col("start") + F.sum("size").over(Window.partitionBy("bucket").orderBy(order))
     return fit.join(starts, "bucket").withColumn("running", running).where(F.col("running") <= budget).drop("bucket", "start")
+
+
+def enough(samples: DataFrame, key: str, least: int) -> DataFrame:
+    """The samples of the keys that have at least so many: one count, and a join with the keys that stay."""
+    kept = samples.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
+    return samples.join(kept, key, "left_semi")
+
+
+def size_split(files: DataFrame, key: str, size: str, share: float) -> DataFrame:
+    """part: test for the files that come first by hash bucket and key until they hold the share of all sizes, else train; the file that reaches it is
+    the last of the test part. Two levels of sums: 4 096 buckets, and a window inside the one in which the share is reached."""
+    parted = files.withColumn("_b", hash_bucket(key, 3))
+    sums = parted.groupBy("_b").agg(F.sum(size).alias("_s"))
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_start")
+    total = files.agg(F.sum(size)).first()[0] or 0
+    before = F.coalesce(F.sum(size).over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = parted.join(F.broadcast(starts), "_b").withColumn("_before", F.col("_start") + before)
+    return rows.withColumn("part", F.when(F.col("_before") < share * total, "test").otherwise("train")).drop("_b", "_start", "_before")
+
+
+def overlap(a: DataFrame, b: DataFrame, column: str = "token") -> DataFrame:
+    """One row: the distinct values of either side, and of both."""
+    sides = a.select(column, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(column, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    each = sides.where(F.col(column).isNotNull()).groupBy(column).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return each.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("left"), F.coalesce(F.sum("b"), F.lit(0)).alias("right"), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("both"))
+
+
+def zipped(a: DataFrame, b: DataFrame, key: str, order_a: str, order_b: str) -> DataFrame:
+    """The rows of both tables side by side, within each key the first with the first and so on, as far as both go. Their other columns must
+    have different names."""
+    def placed(df: DataFrame, order: str) -> DataFrame:
+        return df.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+
+    return placed(a, order_a).join(placed(b, order_b), [key, "_at"]).drop("_at")

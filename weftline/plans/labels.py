@@ -182,3 +182,17 @@ def line_fixes(spark, d):
 def bracket_balance(spark, d):
     """The pages whose brackets or quotes don't pair up."""
     return fixes.unbalanced(table(spark, d, "pages").withColumnRenamed("html", "text"), "page_id")
+
+
+#: The greedy choice step by step: of each page's spans in order the first, then the next that begins at its end or behind it.
+_SPANS = "SELECT page_id, k * 7 % 50 AS start, k * 7 % 50 + k % 6 + 1 AS stop FROM pages, range(0, 20) r(k)"
+
+
+@query(f"""WITH RECURSIVE s AS ({_SPANS}), k AS (SELECT page_id, min(struct_pack(a := start, b := -stop)) AS m FROM s GROUP BY page_id UNION ALL
+ SELECT k.page_id, (SELECT min(struct_pack(a := start, b := -stop)) FROM s WHERE s.page_id = k.page_id AND s.start >= -k.m.b) FROM k WHERE k.m IS NOT NULL)
+SELECT page_id, CAST(m.a AS BIGINT) AS start, CAST(-m.b AS BIGINT) AS stop FROM k WHERE m IS NOT NULL""")
+def kept_spans(spark, d):
+    """Spans of each page without those that overlap the one kept before them."""
+    rows = table(spark, d, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    start = (F.col("k") * 7 % 50).cast("long")
+    return spans.kept_spans(rows.select("page_id", start.alias("start"), (start + F.col("k") % 6 + 1).alias("stop")), "page_id")

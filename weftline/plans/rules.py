@@ -254,3 +254,10 @@ def word_vectors(spark, d):
 def quote_harmonise(spark, d):
     sides = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("string"), (F.col("l_linenumber") % 2).alias("s"), F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("conf")).distinct()
     return rules.harmonise_quotes(sides.withColumn("side", F.when(F.col("s") == 0, "left").otherwise("right")), ["k"]).select("k", "string", "s", "label")
+
+
+@query("SELECT c_custkey, 'balance = ' || CAST(round(c_acctbal) AS BIGINT) || '; nation = ' || CASE WHEN c_nationkey IN (1, 2, 3) THEN CAST(c_nationkey AS VARCHAR) ELSE '∅' END AS text FROM customer")
+def sample_descriptions(spark, d):
+    """Customers' features in words."""
+    rows = table(spark, d, "customer").select("c_custkey", F.round("c_acctbal").cast("long").alias("balance"), *((F.col("c_nationkey") == k).cast("int").alias(f"nation={k}") for k in (1, 2, 3)))
+    return rules.describe_samples(rows, ["c_custkey"], ["balance", "nation=1", "nation=2", "nation=3"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.text import STYLES, common_prefix, context, lower_words, rebuild_identifier, rewrite, split_identifier, split_words
+from weftline.functions.text import STYLES, common_prefix, context, lower_words, merged_map, rebuild_identifier, rewrite, split_identifier, split_words
 from weftline.operators import metrics, vocabulary
 from weftline.operators.quantiles import quantiles
 from weftline.plans.registry import query
@@ -228,3 +228,49 @@ def json_in_markdown(spark, d):
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents")
 def word_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(split_words("text")).cast("long").alias("n"))
+
+
+@query("WITH n AS (SELECT source FROM documents GROUP BY source HAVING count(*) >= 10) SELECT doc_id FROM documents WHERE source IN (SELECT source FROM n)")
+def sources_with_enough(spark, d):
+    """The documents of sources that have ten."""
+    return vocabulary.enough(table(spark, d, "documents").select("doc_id", "source"), "source", 10).select("doc_id")
+
+
+@query("""WITH f AS (SELECT doc_id, length(text) AS size, md5(CAST(doc_id AS VARCHAR))[1:3] AS b FROM documents), r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY b, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM f)
+SELECT doc_id, CASE WHEN before < 0.2 * total THEN 'test' ELSE 'train' END AS part FROM r""")
+def size_split(spark, d):
+    """Documents dealt to test until they hold a fifth of the characters."""
+    return vocabulary.size_split(table(spark, d, "documents").select("doc_id", F.length("text").alias("size")), "doc_id", "size", 0.2).select("doc_id", "part")
+
+
+@query(f"""WITH a AS (SELECT DISTINCT token FROM ({_TURNS.format('assistant')})), u AS (SELECT DISTINCT token FROM ({_TURNS.format('user')}))
+SELECT (SELECT count(*) FROM a) AS "left", (SELECT count(*) FROM u) AS "right", (SELECT count(*) FROM a WHERE token IN (SELECT token FROM u)) AS both""")
+def vocabulary_overlap(spark, d):
+    """The words of either role, and of both."""
+    return vocabulary.overlap(turns(spark, d, "assistant"), turns(spark, d, "user"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS at_ FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS at_ FROM conversations WHERE role = 'assistant')
+SELECT conv_id, a, b FROM a JOIN b USING (conv_id, at_)""")
+def zipped_turns(spark, d):
+    """The first question of a conversation with its first answer, and so on."""
+    rows = table(spark, d, "conversations")
+    a, b = (rows.where(F.col("role") == role).select("conv_id", F.col("turn").alias(name)) for role, name in (("user", "a"), ("assistant", "b")))
+    return vocabulary.zipped(a, b, "conv_id", "a", "b")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'base' END AS status, o_orderpriority AS priority, CASE WHEN o_orderkey % 2 = 1 THEN 'odd' END AS kind FROM orders""")
+def merged_maps(spark, d):
+    """Settings of two maps, of which the second wins."""
+    base = F.create_map(F.lit("status"), F.lit("base"), F.lit("priority"), F.col("o_orderpriority"))
+    own = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("status"), F.col("o_orderstatus"))).otherwise(F.create_map(F.lit("kind"), F.lit("odd")))
+    rows = table(spark, d, "orders").select("o_orderkey", merged_map(base, own).alias("m"))
+    return rows.select("o_orderkey", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("status", "priority", "kind")))
+
+
+@query("SELECT event_id, '{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' AS json FROM events")
+def json_rows(spark, d):
+    """Rows as JSON texts."""
+    from weftline.api import as_json
+
+    return as_json(table(spark, d, "events").select("event_id", "event_type", "user_id"), ["event_id"])
