@@ -136,7 +136,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of docs, all columns, that hold no item. Narrow."""
+    """The rows of docs, all columns, that hold no item; null and empty texts hold none, and without items all rows stay. Narrow."""
     small_batches(docs.sparkSession)
     for part in _blocks(benchmark):
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex([r["text"] for r in part], width))

@@ -400,7 +400,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, with masked texts; n_chars, if there is one, is the masked text's length. Narrow."""
+    """The rows of docs, all columns, with masked texts; a null text stays null; n_chars, if there is one, is the masked text's length. Narrow."""
     small_batches(docs.sparkSession)
     field = docs.sparkSession.sparkContext.broadcast(trained_field())
 

@@ -325,7 +325,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, whose text scores under the threshold. Narrow."""
+    """The rows of docs, all columns, whose text scores under the threshold; a null or empty text has a score too. Narrow."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
