@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from weftline.llm.state import Bitmap, components, small_batches, written
 from weftline.llm.text import U64, mix, releasing, shingle_sets, text_slices
 
-#: Shingles of one flush, how often one must occur in it to be reported as heavy, and the most that are kept.
-FLUSH, HEAVY, MOST_HEAVY = 2_000_000, 3, 1 << 18
+#: Bytes of text worked on at once; shingles of one flush, how often one must occur in it to be reported as heavy, and the most that are kept.
+SLICE, FLUSH, HEAVY, MOST_HEAVY = 1 << 19, 1_000_000, 3, 1 << 18
 #: Shingles of a block of sets or queries, on average.
 BLOCK = 1 << 19
 
@@ -153,7 +153,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
         kept: list[np.ndarray] = []
         size = 0
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, limit=SLICE):
                 sets = shingle_sets(batch.column("text"), width)
                 n = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), batch.column("doc_id"), pa.array(n), pa.array([_class_of(s) for s in sets], pa.int64())], schema=schema)
@@ -175,7 +175,7 @@ def _prefixes(docs: DataFrame, heavy, kept: Bitmap | None, width: int, percent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, weight = heavy.value
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, limit=SLICE):
                 keys, classes, sizes = [], [], []
                 for s in shingle_sets(batch.column("text"), width):
                     if not len(s):
@@ -211,7 +211,7 @@ def _sets(docs: DataFrame, wanted: Bitmap, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, limit=SLICE):
                 sets = shingle_sets(batch.column("text"), width)
                 classes = np.array([_class_of(s) for s in sets], np.int64)
                 keep = [k for k in np.flatnonzero(wanted.holds(classes.view(np.uint64))) if len(sets[k]) and int(classes[k]) not in done and not done.add(int(classes[k]))]
