@@ -63,8 +63,9 @@ def release() -> None:
 
 
 def releasing(run: Callable) -> Callable:
-    """An Arrow function, run(batches), that gives memory back at the end of its task."""
+    """An Arrow function, run(batches), that gives memory back when its task begins, what other stages had sent to the worker, and ends."""
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         yield from run(batches)
         release()
 
