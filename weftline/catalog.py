@@ -6,7 +6,7 @@ import importlib
 
 from weftline.plans.registry import ORACLES, QUERIES, Query
 
-for _name in ("texts", "dictionary", "labels", "rules", "metrics", "streams", "corrector", "style"):
+for _name in ("texts", "dictionary", "labels", "rules", "metrics", "streams", "corrector", "style", "trees"):
     importlib.import_module(f"weftline.plans.{_name}")
 
 
