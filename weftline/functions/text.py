@@ -121,6 +121,12 @@ def deletes(word: Column | str, depth: int) -> Column:
     return out
 
 
+def letter_mask(word: Column | str) -> Column:
+    """The set of a word's characters as bits of a long; some characters share a bit."""
+    bits = F.transform(F.split(_col(word), ""), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64))))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Restricted Damerau-Levenshtein distance (a pair of letters is swapped at most once), -1 beyond most."""
     if abs(len(a) - len(b)) > most:
@@ -168,20 +174,32 @@ def _numbered(pattern: str) -> str:
     return "|".join(out)
 
 
-def restricted_distance(a: Column | str, b: Column | str) -> Column:
-    """The restricted distance of words that are at most 2 apart, else null, without a UDF: the plain one, but for swaps."""
+def restricted_distance(a: Column | str, b: Column | str, letters: Column | None = None) -> Column:
+    """The restricted distance of words that are at most 2 apart, else null, without a UDF: the plain one, but for swaps. letters: in how many bits the words'
+    letter_mask() differ, if known; a swap changes none and another edit two at most, so that few words have to be tried for swaps."""
     a, b = _col(a), _col(b)
-    plain, both = F.levenshtein(a, b, 4), F.concat(a, F.lit(_MARK), b)
-    twice = (F.abs(F.length(a) - F.length(b)) <= 1) & both.rlike(_numbered(_TWICE))
-    return F.when((plain >= 0) & (plain <= 1), plain).when((plain == 2) & both.rlike(_SWAPPED), 1).when(plain == 2, 2).when((plain > 2) & twice, 2).cast("int")
+    both, apart = F.concat(a, F.lit(_MARK), b), F.abs(F.length(a) - F.length(b))
+    letters = F.lit(0) if letters is None else letters
+
+    def told(plain: Column) -> Column:
+        swapped = (plain == 2) & (letters == 0) & (apart == 0) & both.rlike(_SWAPPED)
+        # two swaps are 4 plain edits, a swap and another edit 3
+        twice = (plain > 2) & (apart <= 4 - plain) & both.rlike(_numbered(_TWICE))
+        return F.when((plain >= 0) & (plain <= 1), plain).when(swapped, 1).when((plain == 2) | twice, 2)
+
+    most = F.when((letters == 0) & (apart == 0), 4).when((letters <= 2) & (apart <= 1), 3).otherwise(2)
+    # an array's only element: branches that repeat an expression would take the plain distance once each; and nothing is taken of words that are
+    # too far apart by what is cheap, wherever the optimizer puts this
+    plain = F.get(F.transform(F.array(F.call_function("levenshtein", a, b, most)), told), F.lit(0))
+    return F.when((apart <= 2) & (letters <= 4), plain).cast("int")
 
 
-def with_distance(pairs: DataFrame, a: str, b: str, depth: int, name: str = "distance") -> DataFrame:
-    """The pairs of words a and b whose restricted distance is at most depth, with it."""
-    near = pairs.where(F.abs(F.length(a) - F.length(b)) <= depth)
+def with_distance(pairs: DataFrame, a: str, b: str, depth: int, name: str = "distance", letters: Column | None = None) -> DataFrame:
+    """The pairs of words a and b whose restricted distance is at most depth, with it. letters: as restricted_distance() has it."""
     if depth <= 2:
-        return near.withColumn(name, restricted_distance(a, b)).where(F.col(name) <= depth)
-    return near.where(F.levenshtein(F.col(a), F.col(b), 2 * depth) >= 0).withColumn(name, edit_distance_udf(depth)(a, b)).where(F.col(name) >= 0)
+        return pairs.withColumn(name, restricted_distance(a, b, letters)).where(F.col(name) <= depth)
+    near = pairs.where((F.abs(F.length(a) - F.length(b)) <= depth) & (F.levenshtein(F.col(a), F.col(b), 2 * depth) >= 0))
+    return near.withColumn(name, edit_distance_udf(depth)(a, b)).where(F.col(name) >= 0)
 
 
 #: What separates the words of a phrase, beside spaces. Fixed values.

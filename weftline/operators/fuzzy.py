@@ -7,10 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import deletes, log_ratio, phrase_words, with_distance
+from weftline.functions.text import deletes, letter_mask, log_ratio, phrase_words, with_distance
+
+
+def tasks(spark: SparkSession) -> int:
+    """How many tasks work that grows out of small tables is dealt to: as many as the session shuffles to, and as it has cores at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def build_dictionary(words: DataFrame, threshold: int = 1) -> DataFrame:
@@ -20,21 +25,48 @@ def build_dictionary(words: DataFrame, threshold: int = 1) -> DataFrame:
     return counts.where((F.col("count") >= threshold) & F.col("term").isNotNull())
 
 
-def deletes_index(dictionary: DataFrame, depth: int = 1, prefix: int | None = None) -> DataFrame:
+def add_words(state: DataFrame | None, words: DataFrame, threshold: int = 1) -> DataFrame:
+    """(term, count, known, enters): a dictionary and its staging table as one, after more words. Counts of words (term, count) add up to those of the
+    state; a word is staged, not known, until its added counts reach the threshold, and then enters: only the words that enter have to
+    be added to a stored index. Null words take no part, and negative counts are 0; a state is what this gave before, or None at first."""
+    more = words.where("term is not null").groupBy("term").agg(F.sum(F.greatest(F.col("count"), F.lit(0))).cast("long").alias("more"))
+    if state is None:
+        state = more.where("false").select("term", F.col("more").alias("count"), F.lit(False).alias("known"))
+    both = state.select("term", "count", "known").join(more, "term", "full")
+    total = F.coalesce("count", F.lit(0)) + F.coalesce("more", F.lit(0))
+    was = F.coalesce("known", F.lit(False))
+    return both.select("term", total.cast("long").alias("count"), (was | (total >= threshold)).alias("known"), (~was & (total >= threshold)).alias("enters"))
+
+
+def deletes_index(dictionary: DataFrame, depth: int = 1, prefix: int | None = None, *more: str) -> DataFrame:
     """(delete, term, count): every word under its deletes, or those of its first prefix letters; a word of depth letters
-    at most also under the empty one."""
+    at most also under the empty one. more: further columns to keep."""
     start = F.col("term") if prefix is None else F.substring("term", 1, prefix)
     found = deletes(start, depth)
     found = F.when(F.length("term") <= depth, F.array_union(found, F.array(F.lit("")))).otherwise(found)
-    return dictionary.select(F.explode(found).alias("delete"), "term", "count")
+    # explode_outer, as what explode infers, that the list isn't empty, would be pushed down to every occurrence of the words
+    return dictionary.where("term is not null").select(F.explode_outer(found).alias("delete"), "term", "count", *more)
 
 
-def fuzzy_join(queries: DataFrame, dictionary: DataFrame, depth: int = 1) -> DataFrame:
+def fuzzy_join(queries: DataFrame, dictionary: DataFrame, depth: int = 1, prefix: int | None = None) -> DataFrame:
     """(query, term, count, distance): the words within the restricted Damerau-Levenshtein distance depth.
-    Both sides meet in their deletes, by an equi-join; then the distance is taken."""
-    asked = queries.select("query").distinct().select("query", F.explode(deletes("query", depth)).alias("delete"))
-    pairs = asked.join(deletes_index(dictionary, depth), "delete").select("query", "term", "count").distinct()
-    return with_distance(pairs, "query", "term", depth)
+    Both sides meet in their deletes, by an equi-join; then the distance is taken. With prefix, more than depth, only the deletes of the first prefix letters are
+    made, which finds the same words: an index row is as short and a long word has as few of them as a short one, but more words
+    meet. Before the distance, pairs go whose lengths differ by more than depth or whose sets of letters differ by more than twice depth, as one edit
+    changes at most two letters of the sets."""
+    if prefix is not None and prefix <= depth:
+        raise ValueError("the prefix must be longer than the distance")
+    part = F.col("query") if prefix is None else F.substring("query", 1, prefix)
+    # a dictionary is small until its deletes are made and met, which adaptive plans can't foresee: the number of tasks is stated
+    n = tasks(queries.sparkSession)
+    asked = queries.select("query").repartition(n, "query").distinct().select("query", letter_mask("query").alias("q_mask"), deletes(part, depth).alias("all"))
+    asked = asked.select("query", "q_mask", F.explode_outer("all").alias("delete"))
+    index = deletes_index(dictionary.repartition(n, "term").select("term", "count", letter_mask("term").alias("t_mask")), depth, prefix, "t_mask")
+    letters = F.bit_count(F.col("q_mask").bitwiseXOR(F.col("t_mask")))
+    alike = (F.abs(F.length("query") - F.length("term")) <= depth) & (letters <= 2 * depth)
+    pairs = asked.repartition(n, "delete").hint("merge").join(index.repartition(n, "delete"), (asked["delete"] == index["delete"]) & alike)
+    # most pairs that meet are too far apart, and go before those that met more than once are shuffled
+    return with_distance(pairs, "query", "term", depth, letters=letters).select("query", "term", "count", "distance").distinct()
 
 
 def best_terms(found: DataFrame, verbosity: int) -> DataFrame:

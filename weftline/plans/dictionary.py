@@ -52,16 +52,42 @@ def restricted(a: str, b: str, k: str) -> str:
 _DELETES_2 = f"list_distinct(flatten(list_transform({_DELETES.format('term')}, lambda w: {_DELETES.format('w')})))"
 
 
-#: Occurrences of a word of the dictionary of two edits.
-_OFTEN = 5
+#: The first letters of a word whose deletes are indexed where two edits are allowed.
+PREFIX = 7
 
 
-@query(f"""WITH t AS ({_TOP_SQL}), e AS (SELECT term, count, unnest({_DELETES_2}) AS del FROM t), p AS (SELECT DISTINCT a.term AS query, b.term AS term, b.count AS count FROM e a JOIN e b USING (del) WHERE b.count >= {_OFTEN} AND abs(length(a.term) - length(b.term)) <= 2),
+@query(f"""WITH t AS ({_TOP_SQL}), e AS (SELECT term, count, unnest({_DELETES_2}) AS del FROM t), p AS (SELECT DISTINCT a.term AS query, b.term AS term, b.count AS count FROM e a JOIN e b USING (del) WHERE abs(length(a.term) - length(b.term)) <= 2),
  k AS (SELECT *, {_CUT.format(a="query", b="term")} AS k FROM p WHERE damerau_levenshtein(query, term) <= 2), r AS (SELECT query, term, count, {restricted("query", "term", "k")} AS distance FROM k)
 SELECT query, term, count, CAST(distance AS INTEGER) AS distance FROM r WHERE distance IS NOT NULL""")
 def fuzzy_join_k2(spark, d):
-    """All words against those of some support."""
-    return fuzzy.fuzzy_join(dictionary(spark, d).select(F.col("term").alias("query")), dictionary(spark, d, _OFTEN), 2)
+    """All words against all words, by the deletes of their first letters; the SQL takes those of whole words."""
+    words = dictionary(spark, d)
+    return fuzzy.fuzzy_join(words.select(F.col("term").alias("query")), words, 2, PREFIX)
+
+
+@query(f"SELECT length(term) AS size, count(*) AS words, CAST(sum(len({_DELETES_2.replace('term', 'term[:7]')}) + CASE WHEN length(term) <= 2 AND NOT list_contains({_DELETES_2.replace('term', 'term[:7]')}, '') THEN 1 ELSE 0 END) AS BIGINT) AS rows FROM ({_TOP_SQL}) GROUP BY length(term)")
+def prefix_index_size(spark, d):
+    """How many words of each length there are, and how many rows they have in the index of the deletes of first letters."""
+    index = fuzzy.deletes_index(dictionary(spark, d), 2, PREFIX)
+    return index.groupBy(F.length("term").alias("size")).agg(F.count_distinct("term").alias("words"), F.count("*").alias("rows"))
+
+
+@query("""WITH b AS (SELECT token AS term, doc_id % 3 AS part, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY ALL),
+ c AS (SELECT *, sum(n) OVER (PARTITION BY term ORDER BY part) AS total FROM b)
+SELECT term, CAST(sum(n) AS BIGINT) AS count, sum(n) >= 5 AS known, CAST(min(CASE WHEN total >= 5 THEN part END) AS INTEGER) AS entered FROM c GROUP BY term""")
+def staged_dictionary(spark, d):
+    """A dictionary built in three batches of documents: a word enters in the batch in which its fifth occurrence comes, until then it is staged."""
+    docs = table(spark, d, "documents")
+    state = None
+    for part in range(3):
+        words = vocabulary.word_frequency(docs.where(F.col("doc_id") % 3 == part)).select(F.col("token").alias("term"), F.col("freq").alias("count"))
+        after = fuzzy.add_words(state, words, 5)
+        entered = F.when(F.col("enters"), F.lit(part))
+        before = F.lit(None).cast("int")
+        if state is not None:
+            after, before = after.join(state.select("term", F.col("entered").alias("earlier")), "term", "left"), F.col("earlier")
+        state = after.select("term", "count", "known", F.coalesce(before, entered).alias("entered"))
+    return state
 
 
 for _level, _name in ((0, "lookup_top"), (1, "lookup_closest"), (2, "lookup_all")):
