@@ -160,12 +160,13 @@ def span_overlap_join(spark, d):
     return spans.overlap_join(*layers(spark, d), "page_id")
 
 
-@query(f"WITH {TOKENS}, a AS (SELECT page_id, start, stop, lead(stop) OVER (PARTITION BY page_id ORDER BY idx) AS next FROM tok) SELECT page_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM tok WHERE value = '<' AND (page_id, start, stop) IN (SELECT page_id, start, stop FROM a WHERE next IS NOT NULL)")
+@query(f"""WITH {TOKENS}, m AS MATERIALIZED (SELECT page_id, value, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, lag(value) OVER (PARTITION BY page_id ORDER BY idx) AS before FROM tok),
+ words AS (SELECT DISTINCT page_id, start, stop FROM m WHERE regexp_matches(value, '^[A-Za-z_0-9]')) SELECT page_id, m.start, m.stop FROM m JOIN words USING (page_id, start, stop) WHERE before = '<'""")
 def span_exact_join(spark, d):
-    """The opening brackets that a token follows: spans of one layer that another one has too."""
+    """What stands behind an opening bracket, a tag's name or its slash, where the layer of words has the very same span."""
     rows = tokens(spark, d)
-    followed = rows.withColumn("next", F.expr("lead(stop) over (partition by page_id order by idx)")).where("next is not null")
-    return spans.exact_join(rows.where("value = '<'").select("page_id", "start", "stop"), followed, "page_id")
+    behind = rows.withColumn("before", F.expr("lag(value) over (partition by page_id order by idx)")).where("before = '<'")
+    return spans.exact_join(behind.select("page_id", "start", "stop"), rows.where(F.col("value").rlike("^[A-Za-z_0-9]")), "page_id")
 
 
 @query(f"""WITH {TOKENS}, f AS (SELECT page_id, line, idx, value AS old, CASE WHEN value = '"' THEN '`' ELSE value END AS new, 0.5 + (idx % 4) / 8.0 AS conf FROM tok),

@@ -19,6 +19,14 @@ def folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="weftline-")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: what several jobs of an operator read isn't made anew by each, and a lost executor costs no more
+    than what it was at work on. A job, which runs at once."""
+    path = folder(df.sparkSession) + "/kept"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last of each key's updates."""
     last = Window.partitionBy(*keys).orderBy(F.desc(order))
