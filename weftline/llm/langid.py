@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.state import hash_limit
 from weftline.llm.text import U64, mix, releasing, text_slices
 
 SLOTS, ORDERS, SAMPLE, EPOCHS = 1 << 16, 3, 6000, 4
@@ -150,8 +151,8 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         return LanguageModel([], idf, np.zeros((SLOTS, 0)), 1.0)
 
     each = max(20, sample // len(languages))
-    share = F.create_map(*(x for name in languages for x in (F.lit(name), F.lit(int(min(1.0, each / sizes[name]) * 1_000_000)))))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*(x for name in languages for x in (F.lit(name), F.lit(hash_limit(min(1.0, each / sizes[name]))).cast("long"))))
+    picked = docs.where(F.xxhash64("doc_id") <= share[F.col("lang")])
     fields = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("slots", pa.binary()), ("counts", pa.binary())])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def hash_limit(share: float) -> int:
+    """The 64-bit hashes up to which the share, 0 to 1, of all lie: a sample of so many rows stays one however many rows there are."""
+    return min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH bytes: a batch of whole texts is held twice by a worker and twice by its executor."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.state import small_batches, written
+from weftline.llm.state import hash_limit, small_batches, written
 from weftline.llm.text import releasing, text_slices
 
 SEED = frozenset("""asshole bastard bitch clown crap creep cretin degenerate disgusting dumbass filth freak fool garbage hate hateful
@@ -116,11 +116,22 @@ def _marked(text: str) -> bool:
     return False
 
 
-def features(text: str | None, lexicon: Lexicon) -> list[float]:
+def _composed(text: str | None) -> str:
+    """The text with letters and their marks as one where Unicode has them so, as the seed words are."""
     text = text or ""
+    return text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
+def _words(text: str) -> tuple[list[str], list[str]]:
+    """The words of a composed text, as they are and lower-cased: the lexicon is learned from the same ones as it is looked up for."""
+    found = (_WORD if text.isascii() or not _marked(text) else _WORD_WITH_MARKS).findall(text)
+    return found, [w.lower() for w in found] if len(found) < 3 else " ".join(found).lower().split(" ")
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
+    text = _composed(text)
     plain = text.isascii()
-    found = (_WORD if plain or not _marked(text) else _WORD_WITH_MARKS).findall(text)
-    words = [w.lower() for w in found] if len(found) < 3 else " ".join(found).lower().split(" ")
+    found, words = _words(text)
     n = len(words)
     per = 1.0 / max(n, 1)
     marked = [k for k, w in enumerate(words) if w in _MARKED]
@@ -250,7 +261,7 @@ def _count(sample: DataFrame) -> dict[str, list[int]]:
         counted = [Counter() for _ in range(4)]
         for batch in batches:
             for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
-                counted[2 * fold + toxic].update({g for w in {w.lower() for w in _WORD.findall(text or "")} for g in grams(w)})
+                counted[2 * fold + toxic].update({g for w in set(_words(_composed(text))[1]) for g in grams(w)})
         for slot, counter in enumerate(counted):
             if counter:
                 yield pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.string()), pa.array([slot] * len(counter), pa.int32()), pa.array(counter.values(), pa.int64())], schema=schema)
@@ -278,7 +289,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = labels.count()
     share = min(1.0, sample / max(n, 1))
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    picked = F.xxhash64("doc_id") <= F.lit(hash_limit(share)).cast("long")
     rows = docs.where(picked).join(labels.where(picked), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("fold"))
     rows = written(rows)
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("fold", "toxic").count().collect()}
