@@ -1,6 +1,7 @@
 """Candidates, identifiers and scores on small cases, and rules after pruning against plain programs."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -195,3 +196,57 @@ def test_lists_of_suggestions(spark):
     flat = corrector.flat_suggestions(lists)
     assert [(r["rank"], r.candidate) for r in flat.collect()] == [(1, "b"), (2, "c")]
     assert corrector.listed_suggestions(flat).collect() == lists.collect()
+
+
+def plain_score(tree: str, x: list[float]) -> float:
+    """What a tree, as its debug string tells it, predicts for the numbers x."""
+    lines = [line for line in tree.splitlines() if line.strip().startswith(("If", "Else", "Predict"))]
+    at = 0
+    while not lines[at].strip().startswith("Predict"):
+        words = lines[at].strip().strip(")").split()
+        depth, value = len(lines[at]) - len(lines[at].lstrip()), float(words[-1])
+        if x[int(words[2])] <= value:
+            at += 1
+        else:
+            at = next(k for k in range(at + 1, len(lines)) if lines[k].strip().startswith("Else") and len(lines[k]) - len(lines[k].lstrip()) == depth) + 1
+    return float(lines[at].split()[-1])
+
+
+def test_scores_of_a_trained_ranker_are_those_of_its_trees(spark):
+    rows = [(k, f"w{k}", f"c{k}", float((k * 7 % 13 > 6) ^ (k % 5 == 0)), *(float((k * (j + 3)) % 17) for j in range(len(corrector.FEATURES)))) for k in range(120)]
+    data = spark.createDataFrame(rows, ["id", "token", "candidate", "label", *(f"f_{name}" for name in corrector.FEATURES)])
+    model = corrector.train_ranker(data, rounds=4, depth=3)
+    found = {r.id: r.proba for r in corrector.with_probability(model, data).collect()}
+    assert len({round(p, 9) for p in found.values()}) > 3
+    for k, *_, in rows:
+        x = list(rows[k][4:])
+        margin = sum(weight * plain_score(tree.toDebugString, x) for weight, tree in zip(model.treeWeights, model.trees, strict=True))
+        assert abs(found[k] - 1 / (1 + math.exp(-2 * margin))) < 1e-9
+
+
+def test_candidates_of_all_words_are_those_of_brute_force(spark):
+    """Nearest by vector and by edits, over more words than have a vector of their own."""
+    words = [f"{a}{b}{c}" for a in "abcd" for b in "efgh" for c in "ijkl"]
+    vector = {w: [float(k % 7), float(k * 5 % 11), 1.0] for k, w in enumerate(words)}
+    vector |= {"aex": [1.0, 2.0, 3.0], "dhx": [0.0, 0.0, 0.0]}
+    vocabulary = spark.createDataFrame([(w, 100 - k) for k, w in enumerate(words)], "token string, freq long")
+    vectors = spark.createDataFrame(list(vector.items()), "token string, embedding array<float>")
+    typos = spark.createDataFrame([(1, "aex", "aei", "bfj"), (2, "dhx", "", "chl"), (3, "nothing", "", "")], "id int, token string, before string, after string")
+    found = {(r.id, r.candidate, r.distance) for r in corrector.candidate_set(typos, vocabulary, vectors, 2, 4, 3, 3).collect()}
+
+    def far(a, b):
+        norm = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return round(1 - sum(x * y for x, y in zip(a, b, strict=True)) / norm, 9) if norm else 1.0
+
+    expected = set()
+    for k, token, before, after in [(1, "aex", "aei", "bfj"), (2, "dhx", "", "chl"), (3, "nothing", "", "")]:
+        distances = {w: fn.edit_distance(token, w, 2) for w in words}
+        for d in (0, 1, 2):
+            near = sorted((w for w in words if distances[w] == d), key=lambda w: (words.index(w), w))
+            expected |= {(k, w, d) for w in near[:4]}
+        context = [vector[w] for w in (before, after) if w]
+        asked = [vector[w] for w in (token,) if w in vector] + ([[sum(x) for x in zip(*context, strict=True)]] if context else [])
+        for v in asked:
+            expected |= {(k, w, distances[w]) for w in sorted(words, key=lambda w: (far(v, vector[w]), w))[:3] if 0 <= distances[w] <= 2}
+        expected.add((k, token, 0))
+    assert found == expected

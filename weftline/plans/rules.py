@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import lower_words
@@ -30,14 +31,40 @@ def given(spark):
     return spark.createDataFrame(RULES, _SCHEMA)
 
 
-@query(_ATTRS_SQL.replace("SELECT *", "SELECT rule_id, feature, cmp, CASE WHEN cmp THEN max(threshold) ELSE min(threshold) END AS threshold") + " GROUP BY rule_id, feature, cmp")
+#: One rule for each place in an order, from the lines there: bounds of the quantity, twice from below, of the tax and the discount; the class of most lines.
+_LEARNED = """g AS (SELECT l_linenumber, min(l_quantity) AS low, round(avg(l_quantity), 2) AS mean, max(l_tax) AS tax, round(avg(l_discount), 4) AS discount, count(*) AS support FROM lineitem GROUP BY l_linenumber),
+ c AS (SELECT l_linenumber, l_returnflag AS cls, count(*) AS n FROM lineitem GROUP BY l_linenumber, l_returnflag QUALIFY row_number() OVER (PARTITION BY l_linenumber ORDER BY count(*) DESC, l_returnflag) = 1),
+ r AS (SELECT CAST(row_number() OVER (ORDER BY l_linenumber) - 1 AS INTEGER) AS rule_id, g.*, cls, round((n - 0.5) / support, 9) AS conf FROM g JOIN c USING (l_linenumber)),
+ a AS (SELECT rule_id, 'l_quantity' AS feature, true AS cmp, CAST(low AS DOUBLE) AS threshold FROM r UNION ALL SELECT rule_id, 'l_quantity', true, mean FROM r UNION ALL SELECT rule_id, 'l_tax', false, tax FROM r UNION ALL SELECT rule_id, 'l_discount', false, discount FROM r)"""
+
+
+def learned(spark, d):
+    """The rules of _LEARNED, as rules are stored."""
+    lines = table(spark, d, "lineitem")
+    most = lines.groupBy("l_linenumber", "l_returnflag").count().groupBy("l_linenumber").agg(F.max(F.struct("count", (-F.ascii("l_returnflag")).alias("first"), "l_returnflag")).alias("m"))
+    bounds = F.min("l_quantity").alias("low"), F.round(F.avg("l_quantity"), 2).alias("mean"), F.max("l_tax").alias("tax"), F.round(F.avg("l_discount"), 4).alias("discount")
+    groups = lines.groupBy("l_linenumber").agg(*bounds, F.count("*").alias("support")).join(most, "l_linenumber")
+
+    def attr(feature, above, threshold):
+        return F.struct(F.lit(feature).alias("feature"), F.lit(above).alias("cmp"), F.col(threshold).cast("double").alias("threshold"))
+
+    attrs = F.array(attr("l_quantity", True, "low"), attr("l_quantity", True, "mean"), attr("l_tax", False, "tax"), attr("l_discount", False, "discount"))
+    conf = F.round(rules.confidence(F.col("m.count"), F.col("support")), 9).alias("conf")
+    place = (F.row_number().over(Window.orderBy("l_linenumber")) - 1).alias("rule_id")  # as few rows as an order has places
+    return groups.select(place, attrs.alias("attrs"), F.col("m.l_returnflag").alias("cls"), conf, "support")
+
+
+@query(f"WITH {_LEARNED} SELECT rule_id, feature, cmp, CASE WHEN cmp THEN max(threshold) ELSE min(threshold) END AS threshold FROM a GROUP BY rule_id, feature, cmp")
 def rules_merge(spark, d):
-    return rules.merge_attributes(given(spark))
+    return rules.merge_attributes(learned(spark, d))
 
 
-@query(f"SELECT rule_id, cls, conf, CAST(support AS BIGINT) AS support FROM ({_RULES_SQL}) WHERE conf > 0.84 AND support > 80")
+@query(f"WITH {_LEARNED} SELECT rule_id, cls, conf, CAST(support AS BIGINT) AS support FROM r WHERE conf > (SELECT median(conf) FROM r) AND support > 80")
 def rules_filter(spark, d):
-    return rules.filter_rules(given(spark), 0.84, 80).select("rule_id", "cls", "conf", "support")
+    """The rules of more than the middle confidence."""
+    known = learned(spark, d)
+    middle = known.agg(F.median("conf")).first()[0]
+    return rules.filter_rules(known, middle if middle is not None else 1.0, 80).select("rule_id", "cls", "conf", "support")
 
 
 #: Each rule's condition, the most confident one first, the first of equals.
@@ -45,9 +72,11 @@ _ORDERED = sorted(RULES, key=lambda r: (-r[3], r[0]))
 _CONDITION = {i: " AND ".join(f"{f} {'>' if a else '<='} {t}" for f, a, t in attrs) for i, attrs, *_ in RULES}
 
 
-@query(f"WITH a AS ({_ATTRS_SQL}), k AS (SELECT rule_id, string_agg(feature || cmp || threshold, ',' ORDER BY feature, cmp, threshold) AS key FROM a GROUP BY rule_id) SELECT min(rule_id) AS rule_id FROM k GROUP BY key")
+@query(f"WITH {_LEARNED} SELECT min(rule_id) AS rule_id FROM (SELECT rule_id, string_agg(feature || cmp || threshold, ',' ORDER BY feature, cmp, threshold) AS key FROM a WHERE feature <> 'l_discount' AND threshold IN (SELECT low FROM r UNION SELECT tax FROM r) GROUP BY rule_id) GROUP BY key")
 def rules_distinct(spark, d):
-    return rules.distinct_rules(given(spark)).select("rule_id")
+    """The learned rules without what is a mean, of which many are the same."""
+    known = learned(spark, d)
+    return rules.distinct_rules(known.withColumn("attrs", F.array(F.get("attrs", F.lit(0)), F.get("attrs", F.lit(2))))).select("rule_id")
 
 
 @query(f"""SELECT {', '.join(IDS)}, CASE {' '.join(f"WHEN {_CONDITION[i]} THEN '{c}'" for i, _, c, *_ in _ORDERED)} END AS prediction,
@@ -85,10 +114,10 @@ def confidence_threshold(spark, d):
     return alignment.threshold_for(_by_rule(spark, d), 0.3, 0.1).select("conf", F.round("rate", 9).alias("rate"), F.round("precision", 9).alias("precision"))
 
 
-@query(f"""WITH r AS ({_RULES_SQL}), a AS (SELECT rule_id, count(*) AS n FROM ({_ATTRS_SQL}) GROUP BY rule_id)
-SELECT count(*) AS rules, min(conf) AS min_conf, max(conf) AS max_conf, CAST(min(support) AS BIGINT) AS min_support, CAST(max(support) AS BIGINT) AS max_support, avg(n) AS avg_attrs FROM r JOIN a USING (rule_id)""")
+@query(f"""WITH {_LEARNED}, k AS (SELECT rule_id, count(*) AS n FROM a GROUP BY rule_id)
+SELECT count(*) AS rules, min(conf) AS min_conf, max(conf) AS max_conf, CAST(min(support) AS BIGINT) AS min_support, CAST(max(support) AS BIGINT) AS max_support, avg(n) AS avg_attrs FROM r JOIN k USING (rule_id)""")
 def rules_summary(spark, d):
-    return rules.summary(given(spark))
+    return rules.summary(learned(spark, d))
 
 
 _WORDS_SQL = "CASE WHEN cmp THEN feature || CASE WHEN threshold > 254 THEN ' = 255' ELSE ' ≥ ' || CAST(ceil(threshold) AS BIGINT) END ELSE feature || CASE WHEN threshold < 1 THEN ' = 0' ELSE ' ≤ ' || CAST(floor(threshold) AS BIGINT) END END"
