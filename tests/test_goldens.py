@@ -165,3 +165,13 @@ def test_review_stream(spark, tmp_path):
     stream = review.event_stream(spark, str(source), "id long")
     review.review(stream, str(tmp_path / "check"), lambda df, k: seen.append(df.count())).awaitTermination()
     assert sum(seen) == 10
+
+
+def test_aligned_where_restyled_lines_look_like_others():
+    def restyled(text):
+        half = len(text) // 2
+        return text, text.replace(", ", ","), text[:half] + text[half:].replace(", ", ",")
+
+    for text in (", ,,", ", ,, ,", "1, 1,1, 1", "x, y\nx,y\nx, y\nx,y\n", "x, " * 1600):
+        n, later = text.count(", "), text[len(text) // 2 :].count(", ")
+        assert alignment.counts(*restyled(text)) == (0, later, 0, n - later)
