@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def with_labels(tokens: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """tokens with the predicted value where there is one, and the old value. predictions: (keys, predicted, conf)."""
-    both = tokens.join(predictions, keys, "left")
+    """tokens with the predicted value where there is one, and the old value. predictions: (keys, predicted, conf). A merge, as a plan takes
+    tokens to be as small as the texts they come from and would send them to the driver whole."""
+    both = tokens.join(predictions.hint("merge"), keys, "left")
     return both.withColumn("old", F.col("value")).withColumn("value", F.coalesce("predicted", "value")).drop("predicted")
 
 
