@@ -250,3 +250,21 @@ def test_candidates_of_all_words_are_those_of_brute_force(spark):
             expected |= {(k, w, distances[w]) for w in sorted(words, key=lambda w: (far(v, vector[w]), w))[:3] if 0 <= distances[w] <= 2}
         expected.add((k, token, 0))
     assert found == expected
+
+
+def test_names_whose_second_word_lost_its_only_letter(spark, tmp_path):
+    import duckdb
+
+    from tests.conftest import DATA
+    from weftline import catalog
+
+    text = " ".join(["thtish"] * 900 + ["c"] * 800 + ["ab"] * 700 + ["thtis"] * 600 + ["s"] * 500 + ["a"] * 400)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    for name in ("typo_fixes", "identifier_accuracy"):
+        found = catalog.queries()[name](spark, str(tmp_path))
+        want = duck.execute(f"SELECT {', '.join(found.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, found.collect())) == sorted(want) and want
