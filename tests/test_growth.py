@@ -20,3 +20,19 @@ def plan(df) -> str:
 def test_tokens_are_not_broadcast(spark, name):
     found = plan(catalog.queries()[name](spark, DATA))
     assert "SortMergeJoin" in found and "Broadcast" not in found
+
+
+def test_hardly_more_words_meet_by_first_letters_than_by_whole_words(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from weftline.operators import fuzzy
+    from weftline.plans import dictionary
+
+    asked, join = [], fuzzy.fuzzy_join
+    monkeypatch.setattr(fuzzy, "fuzzy_join", lambda *args: asked.append(args[3]) or join(*args))
+    catalog.queries()["fuzzy_join_k2"](spark, DATA)
+
+    def pairs(prefix):
+        return fuzzy.deletes_index(dictionary.dictionary(spark, DATA), 2, prefix).groupBy("delete").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+
+    assert pairs(asked[0]) < 1.5 * pairs(None)
