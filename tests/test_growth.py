@@ -36,3 +36,15 @@ def test_hardly_more_words_meet_by_first_letters_than_by_whole_words(spark, monk
         return fuzzy.deletes_index(dictionary.dictionary(spark, DATA), 2, prefix).groupBy("delete").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
 
     assert pairs(asked[0]) < 1.5 * pairs(None)
+
+
+def test_a_word_meets_itself_once_and_words_are_counted_once(spark):
+    """The candidates' plan neither reads the texts again nor joins the words twice."""
+    from weftline.operators import fuzzy
+    from weftline.plans import dictionary
+
+    words = spark.createDataFrame([("abcdefghij" * 3, 5), ("zyxwvuts", 4), ("zyxwvust", 3), ("q", 2), ("", 1)], "term string, count long")
+    found = fuzzy.fuzzy_join(words.selectExpr("term AS query"), words)
+    assert sorted((r["query"][:8], r.term[:8], r.distance) for r in found.collect()) == sorted([("abcdefgh", "abcdefgh", 0), ("zyxwvuts", "zyxwvuts", 0), ("zyxwvuts", "zyxwvust", 1), ("zyxwvust", "zyxwvust", 0), ("zyxwvust", "zyxwvuts", 1), ("q", "q", 0), ("", "", 0), ("q", "", 1), ("", "q", 1)])
+    text = plan(dictionary.candidates(spark, DATA))
+    assert "documents.parquet" not in text and text.count("SortMergeJoin") == 1

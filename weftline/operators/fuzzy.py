@@ -64,6 +64,8 @@ def fuzzy_join(queries: DataFrame, dictionary: DataFrame, depth: int = 1, prefix
     index = deletes_index(dictionary.repartition(n, "term").select("term", "count", letter_mask("term").alias("t_mask")), depth, prefix, "t_mask")
     letters = F.bit_count(F.col("q_mask").bitwiseXOR(F.col("t_mask")))
     alike = (F.abs(F.length("query") - F.length("term")) <= depth) & (letters <= 2 * depth)
+    # a word meets itself in all its deletes, which were half of all pairs: only in the one that is its own letters
+    alike &= (F.col("query") != F.col("term")) | (asked["delete"] == part)
     pairs = asked.repartition(n, "delete").hint("merge").join(index.repartition(n, "delete"), (asked["delete"] == index["delete"]) & alike)
     # most pairs that meet are too far apart, and go before those that met more than once are shuffled
     return with_distance(pairs, "query", "term", depth, letters=letters).select("query", "term", "count", "distance").distinct()

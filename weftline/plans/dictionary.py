@@ -9,6 +9,7 @@ from weftline.operators import fuzzy, pipelines, vocabulary
 from weftline.plans.registry import query
 from weftline.plans.texts import TOKENS_SQL
 from weftline.sources.tables import table
+from weftline.streaming.store import kept
 
 _TOP_SQL = f"SELECT token AS term, freq AS count FROM ({TOKENS_SQL})"
 _DELETES = "list_distinct(list_concat([{0}], list_transform(range(1, length({0}) + 1), lambda k: {0}[1:k - 1] || {0}[k + 1:])))"
@@ -22,11 +23,16 @@ def dictionary(spark, d, threshold=1):
     return fuzzy.build_dictionary(vocabulary.word_frequency(table(spark, d, "documents")).select(F.col("token").alias("term"), F.col("freq").alias("count")), threshold)
 
 
-def near(spark, d):
-    words = dictionary(spark, d)
+def near(words):
+    """The words of a dictionary within distance 1 of each of them."""
     return fuzzy.fuzzy_join(words.select(F.col("term").alias("query")), words.select("term", "count"))
 
 
+def counted(spark, d):
+    """The dictionary, written to the shared folder: both sides of a fuzzy join read it, and the texts are read and counted once."""
+    return kept(dictionary(spark, d))
+
+
 @query(f"SELECT term, count, unnest({_DELETES.format('term')}) AS delete FROM ({_TOP_SQL})")
 def deletes_index(spark, d):
     return fuzzy.deletes_index(dictionary(spark, d).select("term", "count"))
@@ -34,7 +40,7 @@ def deletes_index(spark, d):
 
 @query(f"{_NEAR} SELECT query, term, count, CAST(distance AS INTEGER) AS distance FROM near")
 def fuzzy_join_k1(spark, d):
-    return near(spark, d)
+    return near(counted(spark, d))
 
 
 _CUT = "coalesce(list_min(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: {a}[i] <> {b}[i])) - 1, least(length({a}), length({b})))"
@@ -62,7 +68,7 @@ PREFIX, MEET = 7, 11
 SELECT query, term, count, CAST(distance AS INTEGER) AS distance FROM r WHERE distance IS NOT NULL""")
 def fuzzy_join_k2(spark, d):
     """All words against all words, by the deletes of their first letters; the SQL takes those of whole words."""
-    words = dictionary(spark, d)
+    words = counted(spark, d)
     return fuzzy.fuzzy_join(words.select(F.col("term").alias("query")), words, 2, MEET)
 
 
@@ -99,7 +105,7 @@ for _level, _name in ((0, "lookup_top"), (1, "lookup_closest"), (2, "lookup_all"
     }[_level]
 
     def _lookup(spark, d, level=_level):
-        return fuzzy.best_terms(near(spark, d), level).select("query", "term", "distance")
+        return fuzzy.best_terms(near(counted(spark, d)), level).select("query", "term", "distance")
 
     _lookup.__name__ = _name
     query(f"{_NEAR} {_pick}")(_lookup)
@@ -107,7 +113,7 @@ for _level, _name in ((0, "lookup_top"), (1, "lookup_closest"), (2, "lookup_all"
 
 @query(f"{_NEAR} SELECT query, term, CAST(distance AS INTEGER) AS distance FROM near QUALIFY row_number() OVER (PARTITION BY query, distance ORDER BY count DESC, term) <= 4")
 def top_m_per_distance(spark, d):
-    return fuzzy.most_per_distance(near(spark, d), 4).select("query", "term", "distance")
+    return fuzzy.most_per_distance(near(counted(spark, d)), 4).select("query", "term", "distance")
 
 
 @query()
@@ -125,7 +131,7 @@ def lookup_compound(spark, d):
 @query(f"""{_NEAR}, best AS (SELECT query AS token, query_count AS freq, arg_max(term, struct_pack(c := count, t := term)) AS term, max(count) AS top FROM near GROUP BY query, query_count)
 SELECT token, freq, CASE WHEN top > freq THEN term ELSE token END AS correction, round(greatest(top / freq, 1.0), 9) AS rel, greatest(top / freq, 1.0) = 1 AS stable FROM best""")
 def vocabulary_stable_unstable(spark, d):
-    found = pipelines.corrections(vocabulary.word_frequency(table(spark, d, "documents")))
+    found = pipelines.corrections(kept(vocabulary.word_frequency(table(spark, d, "documents"))))
     return found.withColumn("rel", F.round("rel", 9))
 
 
@@ -147,7 +153,8 @@ def english_words(spark, d):
  UNION (SELECT token FROM r WHERE NOT stable AND english_correction ORDER BY freq DESC, token LIMIT 500) UNION (SELECT token FROM r WHERE NOT stable AND NOT english_correction ORDER BY freq DESC, token LIMIT 500))""")
 def generated_vocabulary(spark, d):
     """The English words, forms of one word, and the most frequent of the other tokens by kind."""
-    return pipelines.vocabulary_from(vocabulary.word_frequency(table(spark, d, "documents")), english_words(spark, d), 1000, 500, 500)
+    pairs = kept(pipelines.corrections(kept(vocabulary.word_frequency(table(spark, d, "documents")))))
+    return vocabulary.generate_vocabulary(pairs, kept(english_words(spark, d)), 1000, 500, 500)
 
 
 _VECTORS = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"
@@ -180,8 +187,8 @@ def context_cosine(spark, d):
 
 @query(f"""{_NEAR} SELECT query, term, CAST(distance AS INTEGER) AS distance, query_count AS query_freq, count AS term_freq, round(0.0 - ln((query_count + 1e-5) / (count + 1e-5)), 9) AS log_ratio, length(query) = length(term) AS same_length FROM near""")
 def frequency_features(spark, d):
-    words = dictionary(spark, d).select(F.col("term").alias("token"), F.col("count").alias("freq"))
-    found = fuzzy.candidate_features(near(spark, d).select("query", "term", "distance"), words)
+    words = counted(spark, d)
+    found = fuzzy.candidate_features(near(words).select("query", "term", "distance"), words.select(F.col("term").alias("token"), F.col("count").alias("freq")))
     return found.withColumn("log_ratio", F.round("log_ratio", 9))
 
 
@@ -190,8 +197,8 @@ _CAND = f"""{_NEAR}, cand AS (SELECT query AS id, query AS token, term AS candid
 
 
 def candidates(spark, d):
-    found = near(spark, d)
-    top = found.agg(F.max("count").alias("top"))
+    words = counted(spark, d)
+    found, top = near(words), words.agg(F.max("count").alias("top"))  # every word is near to itself
     p = F.round(F.col("count") / (1 + 99 * F.col("distance")) / F.col("top"), 9)
     return found.join(F.broadcast(top)).select(F.col("query").alias("id"), F.col("query").alias("token"), F.col("term").alias("candidate"), p.alias("proba"))
 
