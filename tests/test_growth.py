@@ -48,3 +48,13 @@ def test_a_word_meets_itself_once_and_words_are_counted_once(spark):
     assert sorted((r["query"][:8], r.term[:8], r.distance) for r in found.collect()) == sorted([("abcdefgh", "abcdefgh", 0), ("zyxwvuts", "zyxwvuts", 0), ("zyxwvuts", "zyxwvust", 1), ("zyxwvust", "zyxwvust", 0), ("zyxwvust", "zyxwvuts", 1), ("q", "q", 0), ("", "", 0), ("q", "", 1), ("", "q", 1)])
     text = plan(dictionary.candidates(spark, DATA))
     assert "documents.parquet" not in text and text.count("SortMergeJoin") == 1
+
+
+def test_composites_shuffle_one_number_a_token(spark):
+    """Neither the texts nor the classes' names of tokens are shuffled, sorted and collected."""
+    from weftline.operators import labels
+
+    pages = spark.createDataFrame([(1, 'a \n"" b'), (2, ""), (3, None), (4, '" \n\n'), (5, " ")], "page_id long, html string")
+    found = labels.composites(labels.lex(pages, "page_id", "html"), "page_id")
+    assert sorted((r.page_id, r["first"], r.label) for r in found.collect()) == [(1, 1, "space+newline"), (1, 3, "quote"), (1, 4, "quote"), (1, 5, "space"), (4, 0, "quote"), (4, 1, "space+newline"), (5, 0, "space")]
+    assert "collect_list(struct" not in plan(found) and "collect_list(pos" in plan(found)
