@@ -345,9 +345,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     signatures = written(_signatures(docs, width))
-    often = signatures.where("heavy").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(MOST_HEAVY).collect()
-    often.sort(key=lambda r: r[0] % 2**64)
-    heavy = spark.sparkContext.broadcast((np.array([r[0] for r in often], np.int64).view(np.uint64), np.array([r[1] for r in often], np.int64)))
+    often = signatures.where("heavy").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(MOST_HEAVY).toArrow()
+    values, counts = often.column("class").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(values)
+    heavy = spark.sparkContext.broadcast((values[order], counts[order]))
     signatures = signatures.where("not heavy")
 
     def shared(rows: DataFrame, *more) -> DataFrame:
